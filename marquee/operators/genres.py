@@ -18,9 +18,13 @@ def match_genres(movies: DataFrame, genres: Sequence[str] = GENRES) -> DataFrame
     "Music" is found in "Musical". The list of names is a literal, so this takes
     no join: every movie is tested against it in place.
     """
-    text = F.lower("genres")
-    hits = F.array(*[F.when(text.contains(genre.lower()), F.lit(genre)) for genre in genres])
-    return movies.select(F.explode(hits).alias("genre"), "*").filter(F.col("genre").isNotNull())
+    pairs = [F.struct(F.lit(g).alias("genre"), F.lit(g.lower()).alias("_name")) for g in genres]
+    return (
+        movies.withColumn("_text", F.lower("genres"))
+        .select(F.inline(F.array(*pairs)), "*")
+        .filter(F.col("_text").contains(F.col("_name")))
+        .drop("_text", "_name")
+    )
 
 
 def movies_with_average(movies: DataFrame, averages: DataFrame) -> DataFrame:
@@ -42,5 +46,5 @@ def genre_top_k_nested(
     movies: DataFrame, averages: DataFrame, k: int = 10, genres: Sequence[str] = GENRES
 ) -> DataFrame:
     """``(genres, recs)``: the same as one list per genre."""
-    flat = genre_top_k(movies, averages, k, genres)
-    return nest_recommendations(flat, "genre", score="avg").withColumnRenamed("genre", "genres")
+    flat = genre_top_k(movies, averages, k, genres).withColumnRenamed("genre", "genres")
+    return nest_recommendations(flat, "genres", score="avg")

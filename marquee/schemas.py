@@ -71,4 +71,7 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     A missing column or one of an unrelated type fails when the plan is built, a
     number too large for its column fails when the row is read.
     """
+    missing = [name for name in schema.names if name not in df.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in {', '.join(df.columns)}")
     return df.to(schema)

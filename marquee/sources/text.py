@@ -42,13 +42,13 @@ def parse_lines(lines: DataFrame, schema: T.StructType, sep: str, mode: str = FA
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
-    fields = F.split("value", f"\\{sep}", -1)
-    split = lines.select("value", fields.alias("fields"))
+    split = lines.select("value", F.split("value", f"\\{sep}", -1).alias("fields"))
     values = [
         _typed(F.get("fields", F.lit(i)), field.dataType).alias(field.name)
         for i, field in enumerate(schema)
     ]
-    parsed = split.select("value", *values)
+    # Generated rows, as the optimizer would repeat the parsing inside the check.
+    parsed = split.select("value", F.inline(F.array(F.struct(*values))))
     good = F.lit(True)
     for field in schema:
         good = good & F.col(field.name).isNotNull()

@@ -1,0 +1,105 @@
+from __future__ import annotations
+
+import math
+
+import pytest
+from conftest import SMALL, plan_of
+from pyspark.sql import functions as F
+
+from marquee.operators import evaluate
+from marquee.sources.warehouse import ratings
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_split_is_whole_disjoint_and_repeatable(spark):
+    data = ratings(spark, SMALL)
+    train, test = evaluate.split(data)
+    assert rows(train.unionAll(test)) == rows(data)
+    assert abs(train.count() / data.count() - 0.8) < 0.03
+    again, _ = evaluate.split(data.repartition(7))
+    assert rows(again) == rows(train)
+    other, _ = evaluate.split(data, seed=1)
+    assert rows(other) != rows(train)
+
+
+@pytest.mark.parametrize("fraction", [0, 1, 1.5])
+def test_split_fraction(spark, fraction):
+    with pytest.raises(ValueError, match="fraction"):
+        evaluate.split(ratings(spark, SMALL), fraction)
+
+
+def test_rmse_by_hand(spark):
+    df = spark.createDataFrame(
+        [(1.0, 1.0), (2.0, 4.0), (3.0, 3.0), (5.0, 4.0), (4.0, 4.0)], "score double, prediction double"
+    )
+    assert evaluate.rmse(df).first().rmse == pytest.approx(1.0)
+
+
+def test_rmse_of_nothing_is_null(spark):
+    empty = spark.createDataFrame([], "score double, prediction double")
+    assert evaluate.rmse(empty).first().rmse is None
+
+
+def test_joined_rmse_counts_every_pair_of_the_join(spark, ratings_of):
+    # Repeated (user, movie) pairs on both sides, one key without a partner on each.
+    real = ratings_of((1, 1, 1.0, 0), (1, 1, 5.0, 1), (1, 1, 2.5, 2), (2, 1, 3.0, 0), (9, 9, 9.0, 0))
+    predicted = spark.createDataFrame(
+        [(1, 1, 2.0), (1, 1, 4.0), (2, 1, 3.5), (8, 8, 0.0)], "uid int, mid int, prediction double"
+    )
+    naive = evaluate.rmse(real.join(predicted, ["uid", "mid"])).first().rmse
+    joined = evaluate.rmse_joined(real, predicted, ["uid", "mid"])
+    assert joined.first().rmse == pytest.approx(naive, rel=1e-12)
+    plan = plan_of(joined)
+    assert plan.count("partial_var_pop") == 2
+
+
+def test_shrinkage_grid_against_formed_rows(spark):
+    train, test = evaluate.split(ratings(spark, SMALL))
+    grid = {row.reg: row.rmse for row in evaluate.shrinkage_grid(train, test, (0.5, 20.0)).collect()}
+    for reg, error in grid.items():
+        predicted = evaluate.shrunken_means(train, [reg])
+        assert evaluate.rmse(test.join(predicted, "mid")).first().rmse == pytest.approx(error)
+
+
+def grid_of(spark, *points):
+    return spark.createDataFrame(list(points), "rank int, reg double, rmse double")
+
+
+def test_best_point_skips_undefined_errors(spark):
+    grid = grid_of(spark, (1, 1.0, None), (2, 1.0, math.nan), (3, 1.0, 0.9), (4, 1.0, 0.8))
+    assert tuple(evaluate.best_parameters(grid).first()) == (4, 1.0, 0.8)
+
+
+def test_best_point_of_equal_ones_is_the_first_in_grid_order(spark):
+    grid = grid_of(spark, (20, 1.0, 0.5), (10, 0.1, 0.5), (10, 1.0, 0.5)).repartition(3)
+    assert tuple(evaluate.best_parameters(grid).first()) == (10, 1.0, 0.5)
+
+
+def test_no_usable_point_raises(spark):
+    with pytest.raises(Exception, match="no grid point"):
+        evaluate.best_parameters(grid_of(spark, (1, 1.0, None))).collect()
+
+
+def test_grid_search_on_als(spark):
+    train, test = evaluate.split(ratings(spark, SMALL))
+    one = evaluate.grid_search(train, test, (2, 4), (1.0, 0.1), iterations=2, blocks=2)
+    two = evaluate.grid_search(train, test, (2, 4), (1.0, 0.1), iterations=2, blocks=2, parallelism=4)
+    assert one.dtypes == [("rank", "int"), ("reg", "double"), ("rmse", "double")]
+    assert [tuple(r)[:2] for r in one.collect()] == [(2, 1.0), (2, 0.1), (4, 1.0), (4, 0.1)]
+    for a, b in zip(one.collect(), two.collect()):
+        assert a.rmse == pytest.approx(b.rmse, rel=1e-3)
+    best = evaluate.best_parameters(one).first()
+    assert best.rmse == one.agg(F.min("rmse")).first()[0]
+
+
+def test_default_grid():
+    assert len(evaluate.RANKS) * len(evaluate.REGS) == 12
+
+
+def test_grid_search_keeps_nothing_cached(spark):
+    train, test = evaluate.split(ratings(spark, SMALL))
+    evaluate.grid_search(train, test, (2,), (1.0,), iterations=1, blocks=2)
+    assert not train.select("uid", "mid", "score").storageLevel.useMemory

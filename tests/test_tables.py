@@ -1,0 +1,84 @@
+from __future__ import annotations
+
+import glob
+
+import pyarrow.parquet as pq
+import pytest
+from conftest import plan_of
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
+from marquee.schemas import RATING, conform
+from marquee.session import scratch_path, shared_dir
+from marquee.sources.tables import read_table, write_clustered, write_table
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "json"])
+def test_writing_replaces_the_table(spark, ratings_of, tmp_path, fmt):
+    path = str(tmp_path / "t")
+    write_table(ratings_of((1, 2, 3.0, 4), (5, 6, 7.0, 8)), path, fmt)
+    write_table(ratings_of((9, 9, 9.0, 9)), path, fmt)
+    df = read_table(spark, path, None, fmt)
+    assert [tuple(row) for row in df.select(*RATING.names).collect()] == [(9, 9, 9.0, 9)]
+
+
+def test_typed_read_orders_and_narrows(spark):
+    stored = spark.createDataFrame([(1.0, 5, 2, 3, "x")], "score double, timestamp long, uid long, mid long, more string")
+    typed = conform(stored, RATING)
+    assert typed.schema.simpleString() == RATING.simpleString()
+    assert tuple(typed.first()) == (2, 3, 1.0, 5)
+
+
+def test_typed_read_rejects_other_relations(spark):
+    with pytest.raises(ValueError, match="score, timestamp"):
+        conform(spark.createDataFrame([(1, 2)], "uid int, mid int"), RATING)
+    with pytest.raises(AnalysisException):
+        conform(
+            spark.createDataFrame([(1, 2, "a", 3)], "uid int, mid int, score string, timestamp int"),
+            RATING,
+        )
+    with pytest.raises(Exception, match="OVERFLOW"):
+        stored = spark.createDataFrame(
+            [(2**31, 1, 1.0, 1)], "uid long, mid int, score double, timestamp int"
+        )
+        conform(stored, RATING).collect()
+
+
+def test_clustered_files_hold_key_ranges_and_split_a_hot_key(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(0, 9000, 1, 6).select(
+        F.col("id").cast("int").alias("uid"),
+        F.when(F.col("id") % 3 == 0, 500).otherwise(F.col("id") % 1000).cast("int").alias("mid"),
+        F.lit(1.0).alias("score"),
+        F.lit(0).alias("timestamp"),
+    )
+    write_clustered(rows, path, "mid", files=9)
+    assert read_table(spark, path, RATING).exceptAll(conform(rows, RATING)).count() == 0
+    assert read_table(spark, path, RATING).count() == 9000
+    ranges = []
+    for file in glob.glob(path + "/*.parquet"):
+        mids = pq.read_table(file, columns=["mid"])["mid"].to_pylist()
+        assert mids == sorted(mids)
+        assert len(mids) < 9000 / 4
+        ranges.append((min(mids), max(mids)))
+    ranges.sort()
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
+    assert sum(low <= 500 <= high for low, high in ranges) >= 3
+    lookup = read_table(spark, path, RATING).filter("mid = 7")
+    assert "EqualTo(mid,7)" in plan_of(lookup)
+
+
+def test_clustered_splits_copies_of_one_row(spark, tmp_path):
+    path = str(tmp_path / "t")
+    copies = spark.range(0, 6000, 1, 6).select(F.lit(1).alias("uid"), F.lit(2).alias("mid"))
+    write_clustered(copies, path, "mid", files=3)
+    sizes = [pq.read_metadata(file).num_rows for file in glob.glob(path + "/*.parquet")]
+    assert sum(sizes) == 6000
+    assert max(sizes) <= 4000
+
+
+def test_shared_dir_is_the_one_the_session_names(spark):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert shared_dir(spark) == (named or spark.conf.get("spark.checkpoint.dir"))
+    assert scratch_path(spark, "a") != scratch_path(spark, "a")
+    assert spark.sparkContext.getCheckpointDir() is not None
