@@ -243,7 +243,7 @@ def grid_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def als_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = evaluate.split(ratings(spark, sf_dir))
-    return evaluate.grid_search(train, test, SEARCH_RANKS, parallelism=2)
+    return evaluate.grid_search(train, test, SEARCH_RANKS, parallelism=4)
 
 
 def queries() -> dict[str, Query]:

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from marquee import schemas
 from marquee.functions.genre_names import GENRES
 from marquee.operators import als, evaluate, genres, popularity, similarity, tags
-from marquee.session import scratch_path
 from marquee.sources import tables, text
 from marquee.sources.tables import read_table, table_path, write_table
 
 MOVIES_WITH_TAGS = "MoviesWithTags"
+MONTHLY_TOTALS = "MonthlyTotals"
 MODEL = "AlsModel"
 
 
@@ -59,9 +59,9 @@ def statistics(
     The ratings are read once, into monthly totals per movie. These are written
     down before they are used four times.
     """
-    totals_path = scratch_path(spark, "monthly-totals")
-    write_table(popularity.monthly_totals(_ratings(spark, target, fmt), zone), totals_path)
-    totals = read_table(spark, totals_path)
+    totals_path = table_path(target, MONTHLY_TOTALS)
+    write_table(popularity.monthly_totals(_ratings(spark, target, fmt), zone), totals_path, fmt)
+    totals = read_table(spark, totals_path, fmt=fmt)
     movies = read_table(spark, table_path(target, schemas.MOVIE_TABLE), schemas.MOVIE, fmt)
     averages_path = table_path(target, schemas.AVERAGE_MOVIES)
     write_table(popularity.average_from_totals(totals), averages_path, fmt)
