@@ -319,12 +319,46 @@ months AS (
 AVERAGES = f"""{RATINGS},
 averages AS (SELECT mid, round(avg(score), 6) AS avg FROM ratings GROUP BY mid)"""
 COUNTS = f"WITH {RATINGS} SELECT mid, count(mid) AS count FROM ratings GROUP BY mid"
+
+
+def _xxh64(source: str, *columns: str) -> str:
+    """CTEs ending in ``digested``: 64-bit xxHash, folded over int columns, seed 42.
+
+    One step each, as every step uses the one before it twice. 128-bit numbers keep
+    the products whole.
+    """
+    p1, p2, p3, p5 = (
+        f"CAST({prime} AS UHUGEINT)"
+        for prime in (
+            0x9E3779B185EBCA87,
+            0xC2B2AE3D27D4EB4F,
+            0x165667B19E3779F9,
+            0x27D4EB2F165667C5,
+        )
+    )
+    wrap = f"% CAST({2**64} AS UHUGEINT)"
+    steps = []
+    for column in columns:
+        word = f"CAST((CAST({column} AS BIGINT) + {2**32}) % {2**32} AS UHUGEINT)"
+        steps += [
+            f"xor((h + {p5} + 4) {wrap}, ({word} * {p1}) {wrap})",
+            f"(h * CAST({2**23} AS UHUGEINT)) {wrap} + (h >> 41)",
+            f"((h * {p2}) {wrap} + {p3}) {wrap}",
+            f"(xor(h, h >> 33) * {p2}) {wrap}",
+            f"(xor(h, h >> 29) * {p3}) {wrap}",
+            "xor(h, h >> 32)",
+        ]
+    ctes = [f"x0 AS (SELECT *, CAST(42 AS UHUGEINT) AS h FROM {source})"]
+    for i, step in enumerate(steps):
+        ctes.append(f"x{i + 1} AS MATERIALIZED (SELECT * REPLACE ({step} AS h) FROM x{i})")
+    ctes.append(f"digested AS (SELECT *, h AS digest FROM x{len(steps)})")
+    return ",\n".join(ctes)
+
+
 SPLIT = f"""{RATINGS},
-dealt AS (
-  SELECT *, substr(md5(concat_ws(',', '0', uid, mid, timestamp)), 1, 8) < 'cccccccc' AS in_train
-  FROM ratings),
-train AS (SELECT uid, mid, score, timestamp FROM dealt WHERE in_train),
-test AS (SELECT uid, mid, score, timestamp FROM dealt WHERE NOT in_train)"""
+{_xxh64("ratings", "0", "uid", "mid", "timestamp")},
+train AS (SELECT uid, mid, score, timestamp FROM digested WHERE digest >> 11 < {int(0.8 * 2**53)}),
+test AS (SELECT uid, mid, score, timestamp FROM digested WHERE digest >> 11 >= {int(0.8 * 2**53)})"""
 MEANS = f"""{SPLIT},
 means AS (SELECT mid, avg(score) AS prediction FROM train GROUP BY mid)"""
 GRID = f"""{SPLIT},
