@@ -29,18 +29,17 @@ def local_session(app: str = "marquee", cores: str | int = "*", **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints and intermediate tables.
 
-    Only a local session may go without the setting; it then gets a folder of
-    its own. The SparkContext is told about the folder, so that
-    ``DataFrame.checkpoint`` and ALS can cut their lineage there.
+    Only a local session may go without the setting; it then gets a folder of its
+    own. The SparkContext is told about the folder, so that ``DataFrame.checkpoint``
+    and ALS can cut their lineage there.
     """
     context = spark.sparkContext
-    base = spark.conf.get(CHECKPOINT_DIR, None)
+    base = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if not base:
         if not context.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="marquee-")
-        spark.conf.set(CHECKPOINT_DIR, base)
-    if context.getCheckpointDir() is None:
+    if not context.getCheckpointDir():
         context.setCheckpointDir(base)
     return base
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import glob
+from types import SimpleNamespace
 
 import pyarrow.parquet as pq
 import pytest
@@ -77,8 +78,41 @@ def test_clustered_splits_copies_of_one_row(spark, tmp_path):
     assert max(sizes) <= 4000
 
 
+def test_options_reach_the_data_source(spark, ratings_of, tmp_path):
+    path = str(tmp_path / "t")
+    write_table(ratings_of((1, 2, 3.0, 4)), path, "csv", sep=";", header="true")
+    df = read_table(spark, path, None, "csv", sep=";", header="true", inferSchema="true")
+    assert tuple(conform(df, RATING).first()) == (1, 2, 3.0, 4)
+
+
 def test_shared_dir_is_the_one_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
-    assert shared_dir(spark) == (named or spark.conf.get("spark.checkpoint.dir"))
+    assert shared_dir(spark) == (named or spark.sparkContext.getCheckpointDir())
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
-    assert spark.sparkContext.getCheckpointDir() is not None
+    assert spark.sparkContext.getCheckpointDir()
+
+
+class Context:
+    """As much of a SparkContext as ``shared_dir`` needs."""
+
+    def __init__(self, master):
+        self.master, self.folder = master, None
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def session(master, **conf):
+    return SimpleNamespace(sparkContext=Context(master), conf=conf)
+
+
+def test_only_a_local_session_may_pick_a_folder():
+    local = session("local[2]")
+    assert shared_dir(local) == local.sparkContext.folder == shared_dir(local)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("yarn"))
+    named = session("yarn", **{"spark.checkpoint.dir": "hdfs://shared"})
+    assert shared_dir(named) == named.sparkContext.folder == "hdfs://shared"
