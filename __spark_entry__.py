@@ -9,19 +9,23 @@ are ranked.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.functions.calendar import register_change_date
-from marquee.functions.genre_names import GENRES_AS_SHIPPED
-from marquee.operators import als, evaluate, genres, nearest, popularity, similarity
-from marquee.operators import tags as tagging
-from marquee.schemas import RATING
-from marquee.session import scratch_path
-from marquee.sources import tables, text
-from marquee.sources.warehouse import (
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from marquee.functions.calendar import register_change_date  # noqa: E402
+from marquee.functions.genre_names import GENRES_AS_SHIPPED  # noqa: E402
+from marquee.operators import als, evaluate, genres, nearest, popularity, similarity  # noqa: E402
+from marquee.operators import tags as tagging  # noqa: E402
+from marquee.schemas import RATING  # noqa: E402
+from marquee.session import scratch_path  # noqa: E402
+from marquee.sources import tables, text  # noqa: E402
+from marquee.sources.warehouse import (  # noqa: E402
     VOCABULARY,
     as_lines,
     item_vectors,
@@ -93,7 +97,7 @@ def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clustered_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "ratings-by-movie")
-    tables.write_clustered(ratings(spark, sf_dir), path, "mid")
+    tables.write_clustered(ratings(spark, sf_dir), path, "mid", lookups=["uid"])
     return popularity.rating_count(tables.read_table(spark, path, RATING))
 
 

@@ -33,14 +33,18 @@ def load(
     """Text files to the tables Movie, Rating, Tag and MoviesWithTags.
 
     Ratings and tags are laid out by movie, for lookups by movie and for a
-    well-combining first step of everything that groups by movie.
+    well-combining first step of everything that groups by movie. Lookups by user
+    are helped by Bloom filters.
     """
     movies = text.read_movies(spark, movies_path, mode).select(*schemas.MOVIE.names)
     ratings = text.read_ratings(spark, ratings_path, mode).select(*schemas.RATING.names)
     tagged = text.read_tags(spark, tags_path, mode).select(*schemas.TAG.names)
-    tables.write_clustered(movies, table_path(target, schemas.MOVIE_TABLE), "mid", fmt)
-    tables.write_clustered(ratings, table_path(target, schemas.RATING_TABLE), "mid", fmt)
-    tables.write_clustered(tagged, table_path(target, schemas.TAG_TABLE), "mid", fmt)
+    for df, name, lookups in (
+        (movies, schemas.MOVIE_TABLE, ()),
+        (ratings, schemas.RATING_TABLE, ("uid",)),
+        (tagged, schemas.TAG_TABLE, ("uid",)),
+    ):
+        tables.write_clustered(df, table_path(target, name), "mid", lookups, fmt)
     stored = read_table(spark, table_path(target, schemas.MOVIE_TABLE), schemas.MOVIE, fmt)
     stored_tags = read_table(spark, table_path(target, schemas.TAG_TABLE), schemas.TAG, fmt)
     rolled_up = tags.movies_with_tags(stored, stored_tags)

@@ -69,6 +69,25 @@ def test_clustered_files_hold_key_ranges_and_split_a_hot_key(spark, tmp_path):
     assert "EqualTo(mid,7)" in plan_of(lookup)
 
 
+def test_lookup_columns_get_bloom_filters(spark, ratings_of, tmp_path):
+    path = str(tmp_path / "t")
+    write_clustered(ratings_of((1, 2, 3.0, 4), (5, 6, 7.0, 8)), path, "mid", ["uid"], files=1)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    (file,) = glob.glob(path + "/*.parquet")
+    source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(
+        jvm.org.apache.hadoop.fs.Path(file), conf
+    )
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+    columns = reader.getFooter().getBlocks().get(0).getColumns()
+    filtered = {
+        column.getPath().toDotString() for column in columns if column.getBloomFilterOffset() > 0
+    }
+    reader.close()
+    assert filtered == {"uid"}
+    write_clustered(ratings_of((1, 2, 3.0, 4)), path, "mid", ["uid"], "orc")
+    assert read_table(spark, path, RATING, "orc").filter("uid = 1").count() == 1
+
+
 def test_clustered_splits_copies_of_one_row(spark, tmp_path):
     path = str(tmp_path / "t")
     copies = spark.range(0, 6000, 1, 6).select(F.lit(1).alias("uid"), F.lit(2).alias("mid"))
