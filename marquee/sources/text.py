@@ -21,13 +21,13 @@ PERMISSIVE = "PERMISSIVE"
 MODES = (FAILFAST, DROPMALFORMED, PERMISSIVE)
 CORRUPT = "_corrupt_record"
 
-_WHOLE_NUMBER = r"^[+-]?[0-9]+$"
-
 
 def _typed(raw: Column, data_type: T.DataType) -> Column:
     """The field's value, NULL where it does not parse."""
     if isinstance(data_type, T.IntegerType):
-        return F.when(raw.rlike(_WHOLE_NUMBER), raw.try_cast("int"))
+        # The cast alone would forgive blanks at both ends.
+        bare = (F.substring(raw, 1, 1) > " ") & (F.substring(raw, -1, 1) > " ")
+        return F.when(bare, raw.try_cast("int"))
     if isinstance(data_type, T.DoubleType):
         return raw.try_cast("double")
     return strip(raw)

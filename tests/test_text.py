@@ -43,7 +43,21 @@ def test_further_fields_are_ignored(lines):
     assert tuple(text.parse_ratings(lines("1,2,3.5,4,extra")).first()) == (1, 2, 3.5, 4)
 
 
-BAD = ["1,2,3.5", "", "x,2,3.5,4", "1,2,good,4", "1, 2,3.5,4", "99999999999,2,3.5,4", "1,2,3.5,"]
+BAD = [
+    "1,2,3.5",
+    "",
+    "x,2,3.5,4",
+    "1,2,good,4",
+    "1, 2,3.5,4",
+    "1,2\t,3.5,4",
+    "1,2,3.5,\u00014",
+    "99999999999,2,3.5,4",
+    "1.0,2,3.5,4",
+    "1e3,2,3.5,4",
+    "0x1,2,3.5,4",
+    "1,2,3.5,",
+    "1,2,3.5,4L",
+]
 
 
 @pytest.mark.parametrize("bad", BAD)
@@ -53,8 +67,13 @@ def test_failfast_raises_on_any_bad_line(lines, bad, chosen):
         text.parse_ratings(lines("1,2,3.5,4", bad)).select(*chosen).collect()
 
 
-def test_drop_leaves_bad_lines_out(lines):
-    rows = text.parse_ratings(lines("1,2,3.5,4", *BAD), text.DROPMALFORMED).collect()
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_drop_leaves_bad_lines_out(spark, lines, ansi):
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        rows = text.parse_ratings(lines("1,2,3.5,4", *BAD), text.DROPMALFORMED).collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
     assert [tuple(row) for row in rows] == [(1, 2, 3.5, 4)]
 
 
