@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marquee import schemas
 from marquee.functions.genre_names import GENRES
@@ -17,6 +18,7 @@ from marquee.sources import tables, text
 from marquee.sources.tables import read_table, table_path, write_table
 
 MOVIES_WITH_TAGS = "MoviesWithTags"
+REJECTED = "Rejected"
 MONTHLY_TOTALS = "MonthlyTotals"
 MODEL = "AlsModel"
 
@@ -34,17 +36,22 @@ def load(
 
     Ratings and tags are laid out by movie, for lookups by movie and for a
     well-combining first step of everything that groups by movie. Lookups by user
-    are helped by Bloom filters.
+    are helped by Bloom filters. With ``PERMISSIVE``, malformed lines go to tables
+    of their own, MovieRejected and so on.
     """
-    movies = text.read_movies(spark, movies_path, mode).select(*schemas.MOVIE.names)
-    ratings = text.read_ratings(spark, ratings_path, mode).select(*schemas.RATING.names)
-    tagged = text.read_tags(spark, tags_path, mode).select(*schemas.TAG.names)
-    for df, name, lookups in (
-        (movies, schemas.MOVIE_TABLE, ()),
-        (ratings, schemas.RATING_TABLE, ("uid",)),
-        (tagged, schemas.TAG_TABLE, ("uid",)),
+    for read, path, name, schema, lookups in (
+        (text.read_movies, movies_path, schemas.MOVIE_TABLE, schemas.MOVIE, ()),
+        (text.read_ratings, ratings_path, schemas.RATING_TABLE, schemas.RATING, ("uid",)),
+        (text.read_tags, tags_path, schemas.TAG_TABLE, schemas.TAG, ("uid",)),
     ):
-        tables.write_clustered(df, table_path(target, name), "mid", lookups, fmt)
+        rows = read(spark, path, mode)
+        if mode == text.PERMISSIVE:
+            bad = F.col(text.CORRUPT).isNotNull()
+            rejected = rows.filter(bad).select(F.col(text.CORRUPT).alias("line"))
+            write_table(rejected, table_path(target, name + REJECTED), fmt)
+            rows = rows.filter(~bad)
+        stored_at = table_path(target, name)
+        tables.write_clustered(rows.select(*schema.names), stored_at, "mid", lookups, fmt)
     stored = read_table(spark, table_path(target, schemas.MOVIE_TABLE), schemas.MOVIE, fmt)
     stored_tags = read_table(spark, table_path(target, schemas.TAG_TABLE), schemas.TAG, fmt)
     rolled_up = tags.movies_with_tags(stored, stored_tags)

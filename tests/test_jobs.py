@@ -97,3 +97,9 @@ def test_bad_line_stops_the_load_and_can_be_left_out(spark, files, tmp_path):
         main(arguments)
     main([*arguments, "--mode", "DROPMALFORMED"])
     assert read_table(spark, table_path(str(tmp_path / "t"), schemas.RATING_TABLE)).count() == 1
+    main([*arguments, "--mode", "PERMISSIVE"])
+    assert read_table(spark, table_path(str(tmp_path / "t"), schemas.RATING_TABLE)).count() == 1
+    rejected = read_table(spark, table_path(str(tmp_path / "t"), schemas.RATING_TABLE + jobs.REJECTED))
+    assert [row.line for row in rejected.collect()] == ["1,2"]
+    none = read_table(spark, table_path(str(tmp_path / "t"), schemas.TAG_TABLE + jobs.REJECTED))
+    assert none.count() == 0
