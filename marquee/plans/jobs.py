@@ -76,7 +76,8 @@ def statistics(
     movies = read_table(spark, table_path(target, schemas.MOVIE_TABLE), schemas.MOVIE, fmt)
     averages_path = table_path(target, schemas.AVERAGE_MOVIES)
     write_table(popularity.average_from_totals(totals), averages_path, fmt)
-    best = genres.genre_top_k_nested(movies, read_table(spark, averages_path, fmt=fmt), 10, genre_names)
+    averages = read_table(spark, averages_path, fmt=fmt)
+    best = genres.genre_top_k_nested(movies, averages, 10, genre_names)
     for name, df in (
         (schemas.RATE_MORE_MOVIES, popularity.count_from_totals(totals)),
         (schemas.RATE_MORE_RECENTLY_MOVIES, popularity.count_by_month_from_totals(totals)),

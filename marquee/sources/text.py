@@ -33,7 +33,9 @@ def _typed(raw: Column, data_type: T.DataType) -> Column:
     return strip(raw)
 
 
-def parse_lines(lines: DataFrame, schema: T.StructType, sep: str, mode: str = FAILFAST) -> DataFrame:
+def parse_lines(
+    lines: DataFrame, schema: T.StructType, sep: str, mode: str = FAILFAST
+) -> DataFrame:
     """Parse a one-column text DataFrame (``value``).
 
     ``FAILFAST`` raises on the first malformed line, ``DROPMALFORMED`` leaves such

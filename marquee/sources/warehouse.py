@@ -94,10 +94,12 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_lines(df: DataFrame, sep: str) -> DataFrame:
     """Rows as the delimited text the loaders read, strings padded with blanks."""
-    fields = [
-        F.concat(F.lit(" "), F.col(name), F.lit("\t ")) if kind == "string" else F.col(name).cast("string")
-        for name, kind in df.dtypes
-    ]
+
+    def field(name: str, kind: str) -> Column:
+        padded = F.concat(F.lit(" "), F.col(name), F.lit("\t "))
+        return padded if kind == "string" else F.col(name).cast("string")
+
+    fields = [field(name, kind) for name, kind in df.dtypes]
     return df.select(F.concat_ws(sep, *fields).alias("value"))
 
 

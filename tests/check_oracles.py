@@ -33,7 +33,8 @@ def normalised(names: list[str], rows: list[tuple]) -> tuple[list[str], list[tup
     """Columns in order of name, rows in order of value."""
     order = sorted(range(len(names)), key=lambda i: names[i])
     picked = [tuple(row[i] for i in order) for row in rows]
-    return [names[i] for i in order], sorted(picked, key=lambda row: [(v is None, str(v)) for v in row])
+    by_value = sorted(picked, key=lambda row: [(v is None, str(v)) for v in row])
+    return [names[i] for i in order], by_value
 
 
 def differences(spark_df, connection: duckdb.DuckDBPyConnection, sql: str) -> str | None:
@@ -51,8 +52,8 @@ def differences(spark_df, connection: duckdb.DuckDBPyConnection, sql: str) -> st
         return f"{len(rows)} rows, expected {len(expected)}"
     for row, other in zip(rows, expected):
         for a, b in zip(row, other):
-            same = a == b or (isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, abs_tol=1e-9))
-            if not same or type(a) is not type(b):
+            close = isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, abs_tol=1e-9)
+            if not (a == b or close) or type(a) is not type(b):
                 return f"{row}, expected {other}"
     return None
 
