@@ -9,6 +9,7 @@ are ranked.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -35,6 +36,12 @@ from marquee.sources.warehouse import (  # noqa: E402
     user_vectors,
 )
 
+# The operators for training text are a part that can be left out as a whole.
+if importlib.util.find_spec("marquee.llm") and importlib.util.find_spec("corpus_pipeline"):
+    from marquee.llm import queries as llm  # noqa: E402
+else:
+    llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 TOP_MOVIES = 10
@@ -289,7 +296,7 @@ def queries() -> dict[str, Query]:
             grid_argmin,
             als_grid_search,
         )
-    }
+    } | (llm.queries() if llm else {})
 
 
 # --- the same in DuckDB ------------------------------------------------------------
@@ -460,4 +467,4 @@ SELECT round(sqrt(avg((score - prediction) ** 2)), 6) AS rmse
 FROM test JOIN predicted USING (uid, mid)""",
         "grid_points": f"WITH {GRID} SELECT reg, rmse FROM grid",
         "grid_argmin": f"WITH {GRID} SELECT reg, rmse FROM grid ORDER BY rmse, reg LIMIT 1",
-    }
+    } | (llm.oracle_sql() if llm else {})
