@@ -8,10 +8,10 @@ from marquee.llm import stages
 from marquee.session import scratch_path
 
 STAGES = [
-    ("quality rules", stages.quality),
-    ("SimHash near-dedup", stages.simhash),
-    ("suffix-array dedup", stages.suffix_array),
-    ("mixing sources to target weights", stages.mixing),
+    ("quality rules", stages.quality_rules),
+    ("SimHash near-dedup", stages.simhash_dedup),
+    ("suffix-array dedup", stages.suffix_array_dedup),
+    ("mixing sources to target weights", stages.mixing_sources),
     ("SentencePiece encoding and decoding", stages.sentence_pieces),
 ]
 

@@ -190,3 +190,25 @@ def mix(
         .withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
         .select(F.col("key").alias(key), "size", "source_size", "target", "taken")
     )
+
+
+def mixed(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options
+) -> DataFrame:
+    """The rows as often as the mix takes them: the nearest number of whole times, halves up.
+
+    Rows of equal key and size take equal parts of what the mix takes of them.
+    """
+    taken = mix(documents, key, text, source, **options)
+    times = taken.groupBy(key, "size").agg(
+        (F.sum("taken") / (F.col("size") * F.count(F.lit(1)))).alias("share")
+    )
+    times = times.select(
+        F.col(key).alias("__key"), F.col("size").alias("__size"), F.floor(F.col("share") + 0.5).cast("int").alias("__times")
+    ).where("__times > 0")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    joined = documents.withColumn("__words", size).join(
+        times, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__words") == F.col("__size"))
+    )
+    again = F.explode(F.array_repeat(F.lit(0), F.col("__times")))
+    return joined.select(*documents.columns, again.alias("__again")).drop("__again")

@@ -27,6 +27,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from marquee.llm.arrow import pieces, record_batch, texts
 
@@ -285,3 +286,13 @@ def encode_decode(
             yield record_batch(schema, batch.column(key), [a for a, _ in done], [b for _, b in done])
 
     return documents.select(key, text).mapInArrow(work, f"`{key}` {kind}, ids binary, decoded string")
+
+
+def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, n_tokens and the SHA-256 of the packed ids and of the decoded text."""
+    return encoded.select(
+        key,
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -1,0 +1,72 @@
+from __future__ import annotations
+
+import random
+
+from marquee.llm import toxicity
+
+
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_automata_match_what_edit_distance_allows():
+    rng = random.Random(1)
+    words, stems = ["idiot", "scum", "moron", "worthless"], ["chlla", "vequlos"]
+    lexicon = toxicity.Lexicon(words, stems)
+    letters = "abcdehilmoqrstuvw1"
+    tried = []
+    for term in [*words, *stems]:
+        for _ in range(400):
+            w = list(term + rng.choice(["", "", "ab", "s"]))
+            for _ in range(rng.randint(0, 2)):
+                k = rng.randrange(len(w) + 1)
+                match rng.randrange(3):
+                    case 0:
+                        w.insert(k, rng.choice(letters))
+                    case 1 if w and k < len(w):
+                        del w[k]
+                    case _ if w and k < len(w):
+                        w[k] = rng.choice(letters)
+            tried.append("".join(w))
+    for w in tried:
+        best = [(distance(w, t), t, True) for t in words]
+        best += [(min(distance(w[:k], t) for k in range(len(w) + 1)), t, False) for t in stems]
+        allowed = [
+            d for d, t, whole in best if d == 0 or (d == 1 and len(t) >= (toxicity.FUZZY if whole else toxicity.FUZZY + 2))
+        ]
+        assert lexicon.match(w) == (min(allowed) if allowed else None), w
+
+
+def test_terms_need_strong_evidence():
+    counts = {"idiot ": (90, 0), "idio": (90, 1), "idiot": (90, 0), "the ": (100, 100), "rare ": (3, 0),
+              "chlla": (60, 0), "chllab ": (30, 0), "chllac ": (30, 0)}
+    assert toxicity.choose_terms(counts, 100, 100) == (["idiot"], ["chlla"])
+
+
+def test_quotes_and_reports_are_told_apart():
+    known = {"idiot": 0}
+    text = 'You idiot. "An idiot" he wrote idiot\n“idiot” «x» you he you he idiot'
+    n, hits = toxicity.hits_of(text, dict.fromkeys("you an he wrote x".split()) | known)
+    assert [quoted for *_, quoted in hits] == [False, True, True, True, False]
+
+
+def test_held_out_scores_and_edges(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = toxicity.train(docs, labels)
+    scored = toxicity.score(docs, model).withColumn("held_out", toxicity.held_out("doc_id"))
+    rows = scored.where("held_out").join(labels, "doc_id").select("score", "toxic").collect()
+    toxic = [r.score >= toxicity.THRESHOLD for r in rows if r.toxic == 1]
+    clean = [r.score >= toxicity.THRESHOLD for r in rows if r.toxic == 0]
+    assert sum(toxic) > 0.9 * len(toxic) and sum(clean) < 0.02 * len(clean)
+    odd = spark.createDataFrame([(1, None, 0.5), (1, "", 0.5), (None, "idiot " * 5000, 0.5)], "doc_id long, text string, score double")
+    got = [r.score for r in toxicity.score(odd, model).collect()]
+    assert got[0] == got[1] < got[2] <= 1
+    assert toxicity.score(odd.limit(0), model).collect() == []
+    assert {r.score for r in toxicity.score(odd, toxicity.train(odd, labels.limit(0))).collect()} == {0.0}
