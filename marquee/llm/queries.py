@@ -10,7 +10,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import mixing, quality, sentencepieces, simhash, suffix_dedup, toxicity
+from marquee.llm import (
+    edit_counts,
+    embeddings,
+    extraction,
+    mixing,
+    quality,
+    sentencepieces,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    url_lists,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +36,61 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(documents, field)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with three edits made up from its id: a cut, an addition, a replacement."""
+    length = F.length(F.coalesce("text", F.lit("")))
+    digest = [F.xxhash64(F.lit(i), F.coalesce("doc_id", F.lit(-1).cast("long"))) for i in range(3)]
+    start = [F.pmod(d, length + 1) for d in digest]
+    documents = _table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "text",
+        F.array(
+            F.struct(start[0].alias("start"), F.lit(40).cast("long").alias("removed"), F.lit("").alias("inserted")),
+            F.struct(start[1], F.lit(0).cast("long"), F.concat(F.lit(" Added by "), "source", F.lit(": don't, 1234.\n"))),
+            F.struct(start[2], F.lit(7).cast("long"), F.lit("naïve 漢字")),
+        ).alias("edits"),
+    )
+    return edit_counts.count_edited(documents)
+
+
+def _day(name: str, digits: int) -> str:
+    """A number below 4096 from the MD5 of a name, in SQL of Spark."""
+    return f"cast(conv(substr(md5({name}), {digits}, 3), 16, 10) as bigint)"
+
+
+def url_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dated list made from the hosts of ``pages``: pattern, action, at (day)."""
+    hosts = _table(spark, sf_dir, "pages").select(
+        url_lists.host_of("url").alias("host"), url_lists.segments_of("url").alias("path")
+    ).where("host <> ''")
+    one = hosts.select("host").distinct()
+    domain = one.select(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("pattern")).where("pattern <> ''").distinct()
+    prefix = hosts.where("size(path) > 0").select(F.concat("host", F.lit("/"), F.col("path")[0]).alias("pattern")).distinct()
+    logs = []
+    for patterns, rows in (
+        (one.withColumnRenamed("host", "pattern"), [("block", 1, 300, 0), ("remove", 1, 300, 100), ("block", 1, 300, 200)]),
+        (domain, [("allow", 4, 365, 0), ("block", 4, 365, 90), ("remove", 4, 365, 250)]),
+        (prefix, [("allow", 7, 500, 0), ("remove", 7, 500, 60)]),
+    ):
+        for action, digits, days, after in rows:
+            at = F.expr(f"{_day('pattern', digits)} % {days} + {after}")
+            logs.append(patterns.select("pattern", F.lit(action).alias("action"), at.alias("at")))
+    entries = logs[0]
+    for log in logs[1:]:
+        entries = entries.unionByName(log)
+    return entries
+
+
+def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against that list, fetched on a day made from its id."""
+    pages = _table(spark, sf_dir, "pages").withColumn("fetched", F.pmod(F.col("page_id") * 7919, F.lit(730)))
+    return url_lists.judge(pages, url_entries(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     model = toxicity.train(documents, _table(spark, sf_dir, "labels"))
@@ -59,6 +125,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return linked.select(
+        "vec_id",
+        "n_links",
+        F.col("component").alias("component_id"),
+        (F.col("vec_id") == F.col("component")).alias("kept"),
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -77,16 +153,91 @@ def queries() -> dict[str, Query]:
         query.__name__: query
         for query in (
             op1_quality_rules,
+            op2_html_text,
+            op3_edit_counts,
+            op4_url_lists,
             op5_toxicity,
             op6_sentencepiece,
             op7_suffix_array,
             op8_simhash,
+            op9_nn_descent,
             op10_mixing,
             pipeline,
         )
     }
 
 
+URLS = r"""captures AS (
+  SELECT page_id, url, (page_id * 7919) % 730 AS fetched,
+         rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '.') AS host,
+         list_filter(string_split(regexp_extract(url,
+           '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)(?::[0-9]*)?([^?#]*)', 2), '/'), lambda x: x <> '') AS path
+  FROM pages),
+hosts AS (SELECT DISTINCT host AS pattern FROM captures WHERE host <> ''),
+domains AS (
+  SELECT DISTINCT regexp_extract(pattern, '([^.]+\.[^.]+)$', 1) AS pattern FROM hosts
+  WHERE regexp_matches(pattern, '[^.]+\.[^.]+$')),
+prefixes AS (SELECT DISTINCT host || '/' || path[1] AS pattern FROM captures WHERE host <> '' AND len(path) > 0),
+planned AS (
+  SELECT pattern, 1 AS digits, 300 AS days, unnest([0, 100, 200]) AS later, unnest(['block', 'remove', 'block']) AS action FROM hosts
+  UNION ALL
+  SELECT pattern, 4, 365, unnest([0, 90, 250]), unnest(['allow', 'block', 'remove']) FROM domains
+  UNION ALL
+  SELECT pattern, 7, 500, unnest([0, 60]), unnest(['allow', 'remove']) FROM prefixes),
+entries AS (
+  SELECT pattern, action, CAST('0x' || substr(md5(pattern), digits, 3) AS BIGINT) % days + later AS day FROM planned),
+strongest AS (
+  SELECT pattern, day, action FROM entries
+  QUALIFY row_number() OVER (PARTITION BY pattern, day
+    ORDER BY CASE action WHEN 'block' THEN 2 WHEN 'allow' THEN 1 ELSE 0 END DESC) = 1),
+valid AS (
+  SELECT pattern, action, day AS since, lead(day) OVER (PARTITION BY pattern ORDER BY day) AS until FROM strongest),
+met AS (
+  SELECT c.page_id, c.url, c.fetched, v.pattern, v.action,
+         len(list_filter(string_split(v.pattern, '/'), lambda x: x <> '')) AS depth
+  FROM captures c JOIN valid v
+    ON v.action <> 'remove' AND v.since <= c.fetched AND (v.until IS NULL OR c.fetched < v.until)
+   AND CASE WHEN contains(v.pattern, '/')
+            THEN starts_with(c.host || '/' || array_to_string(c.path, '/') || '/', v.pattern || '/')
+            ELSE c.host = v.pattern OR ends_with(c.host, '.' || v.pattern) END)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL, for the operators that SQL can express."""
-    return {}
+    return {
+        "op4_url_lists": f"""WITH {URLS},
+found AS (
+  SELECT page_id, url, fetched, first(action ORDER BY depth DESC, length(pattern) DESC, pattern DESC) AS verdict,
+         first(pattern ORDER BY depth DESC, length(pattern) DESC, pattern DESC) AS pattern, count(*) AS n_active
+  FROM met GROUP BY ALL)
+SELECT c.page_id, c.url, c.fetched, coalesce(verdict, 'none') AS verdict, f.pattern,
+       coalesce(n_active, 0) AS n_active
+FROM captures c LEFT JOIN found f ON c.page_id = f.page_id AND c.url = f.url""",
+        "op10_mixing": r"""WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM sized GROUP BY source),
+levels AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
+             - coalesce(sum(2.0::DOUBLE * source_size) OVER earlier, 0))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0)) AS level
+  FROM sources
+  WINDOW earlier AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, max(level) OVER () * weight) AS target FROM levels),
+placed AS (
+  SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS goal,
+         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY place, size
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(CASE WHEN source_size = 0 THEN 0
+                 ELSE (goal // source_size) * size + greatest(0, least(size, goal % source_size - start)) END AS BIGINT)
+         AS taken
+FROM placed""",
+    }

@@ -164,10 +164,11 @@ def repeated_starts(
     out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     if found_owner:
         owners, at = np.concatenate(found_owner), np.concatenate(found_start)
+        if not len(at):
+            return out
         by_place = np.lexsort((at, owners))
         owners, at = owners[by_place], at[by_place]
-        new = np.r_[True, (owners[1:] != owners[:-1]) | (at[1:] != at[:-1] + 1)] if len(at) else np.zeros(0, bool)
-        heads = np.flatnonzero(new)
+        heads = np.flatnonzero(np.r_[True, (owners[1:] != owners[:-1]) | (at[1:] != at[:-1] + 1)])
         tails = np.r_[heads[1:], len(at)] - 1
         for i, a, b in zip(owners[heads].tolist(), at[heads].tolist(), at[tails].tolist()):
             out[i].append((a, b + 1))

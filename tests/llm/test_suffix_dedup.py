@@ -73,3 +73,9 @@ def test_repeated_rows_null_keys_and_extra_columns(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.dedup(docs).collect() == []
+
+
+def test_equal_anchors_without_a_repeated_window(spark):
+    anchor = "0" * 32
+    docs = spark.createDataFrame([(i, "".join(chr(65 + (i * k) % 50) for k in range(1, 30)) + anchor + "".join(chr(70 + (i * k) % 47) for k in range(1, 30))) for i in range(2, 9)], "doc_id long, text string")
+    assert all(r.spans == [] for r in suffix_dedup.dedup(docs, 64).collect())
