@@ -197,11 +197,12 @@ def mixed(
 ) -> DataFrame:
     """The rows as often as the mix takes them: the nearest number of whole times, halves up.
 
-    Rows of equal key and size take equal parts of what the mix takes of them.
+    Rows of equal key and size take equal parts of what the mix takes of them; rows without a
+    word are never taken.
     """
     taken = mix(documents, key, text, source, **options)
     times = taken.groupBy(key, "size").agg(
-        (F.sum("taken") / (F.col("size") * F.count(F.lit(1)))).alias("share")
+        F.try_divide(F.sum("taken"), F.col("size") * F.count(F.lit(1))).alias("share")
     )
     times = times.select(
         F.col(key).alias("__key"), F.col("size").alias("__size"), F.floor(F.col("share") + 0.5).cast("int").alias("__times")

@@ -43,17 +43,20 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with three edits made up from its id: a cut, an addition, a replacement."""
     length = F.length(F.coalesce("text", F.lit("")))
-    digest = [F.xxhash64(F.lit(i), F.coalesce("doc_id", F.lit(-1).cast("long"))) for i in range(3)]
-    start = [F.pmod(d, length + 1) for d in digest]
-    documents = _table(spark, sf_dir, "documents").select(
-        "doc_id",
-        "text",
-        F.array(
-            F.struct(start[0].alias("start"), F.lit(40).cast("long").alias("removed"), F.lit("").alias("inserted")),
-            F.struct(start[1], F.lit(0).cast("long"), F.concat(F.lit(" Added by "), "source", F.lit(": don't, 1234.\n"))),
-            F.struct(start[2], F.lit(7).cast("long"), F.lit("naïve 漢字")),
-        ).alias("edits"),
+    changes = (
+        (40, F.lit("")),
+        (0, F.concat(F.lit(" Added by "), F.coalesce("source", F.lit("?")), F.lit(": don't, 1234.\n"))),
+        (7, F.lit("naïve 漢字")),
     )
+    edits = [
+        F.struct(
+            F.pmod(F.xxhash64(F.lit(i), F.coalesce("doc_id", F.lit(-1).cast("long"))), length + 1).alias("start"),
+            F.lit(removed).cast("long").alias("removed"),
+            inserted.alias("inserted"),
+        )
+        for i, (removed, inserted) in enumerate(changes)
+    ]
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", F.array(*edits).alias("edits"))
     return edit_counts.count_edited(documents)
 
 

@@ -1,0 +1,25 @@
+from __future__ import annotations
+
+import pytest
+from check_oracles import differences, oracle
+
+from marquee.llm import queries
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def connection():
+    return oracle(SF)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_sql(spark, connection, name):
+    assert differences(queries.queries()[name](spark, SF), connection, queries.oracle_sql()[name]) is None
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
+def test_gives_a_row_for_each_row(spark, name):
+    table = {"op2": "pages", "op9": "embeddings"}.get(name.split("_")[0], "documents")
+    rows, whole = queries.queries()[name](spark, SF).count(), spark.read.parquet(f"{SF}/{table}.parquet").count()
+    assert rows == whole if name != "pipeline" else 0 < rows < 2 * whole

@@ -39,7 +39,7 @@ def test_memory_is_bounded_and_a_difference_is_an_error(monkeypatch):
     for t in corpus()[:400]:
         list(agenda.run([t], 1))
         assert len(agenda.packed) <= 50 or len(t) > 50
-    agenda.id["▁a"] += 1
+    agenda.pair_id += 1
     with pytest.raises(ValueError):
         agenda.packed.clear()
         list(agenda.run(["a a a"], 1))
