@@ -3,8 +3,8 @@
 ``queries()`` runs every operator over the whole of the given tables, or over the
 movies, ratings and tags that ``marquee.sources.warehouse`` projects from them.
 ``oracle_sql()`` says the same in DuckDB's SQL, written from the definition of the
-result. Averages and scores are rounded to six places on both sides, before they
-are ranked.
+result. Averages are rounded to six places on both sides before they are ranked, scores
+of vectors after.
 """
 
 from __future__ import annotations
@@ -23,13 +23,15 @@ from marquee.functions.calendar import register_change_date  # noqa: E402
 from marquee.functions.genre_names import GENRES_AS_SHIPPED  # noqa: E402
 from marquee.operators import als, evaluate, genres, nearest, popularity, similarity  # noqa: E402
 from marquee.operators import tags as tagging  # noqa: E402
-from marquee.schemas import RATING  # noqa: E402
+from marquee.schemas import MOVIE, RATING  # noqa: E402
 from marquee.session import scratch_path  # noqa: E402
 from marquee.sources import tables, text  # noqa: E402
 from marquee.sources.warehouse import (  # noqa: E402
     VOCABULARY,
     as_lines,
+    customer_ratings,
     item_vectors,
+    movie_vectors,
     movies,
     ratings,
     tags,
@@ -47,8 +49,7 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 TOP_MOVIES = 10
 SHRINKAGE = (0.1, 1.0, 10.0, 100.0)
 SIMILAR = 5
-# The full default grid takes minutes even on small data.
-SEARCH_RANKS = (10, 20)
+LOOKED_UP = (7, 77, 777)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,16 +83,31 @@ def _as_text(recs: str) -> Column:
 # --- sources and sinks ---------------------------------------------------------
 
 
+def _as_file(spark: SparkSession, df: DataFrame, sep: str) -> str:
+    """The rows written as a text file."""
+    path = scratch_path(spark, "lines")
+    as_lines(df, sep).write.text(path)
+    return path
+
+
 def load_movies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.parse_movies(as_lines(movies(spark, sf_dir), "^"))
+    return text.read_movies(spark, _as_file(spark, movies(spark, sf_dir), "^"))
 
 
 def load_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.parse_ratings(as_lines(ratings(spark, sf_dir), ","))
+    return text.read_ratings(spark, _as_file(spark, ratings(spark, sf_dir), ","))
 
 
 def load_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.parse_tags(as_lines(tags(spark, sf_dir), ","))
+    return text.read_tags(spark, _as_file(spark, tags(spark, sf_dir), ","))
+
+
+def typed_movies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table with other columns, in another order, read as movies."""
+    path = scratch_path(spark, "movies")
+    stored = movies(spark, sf_dir)
+    tables.write_table(stored.select(F.lit(0).alias("extra"), *reversed(stored.columns)), path)
+    return tables.read_table(spark, path, MOVIE)
 
 
 def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,10 +118,19 @@ def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_table(spark, path, averages.schema)
 
 
-def clustered_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "ratings-by-movie")
     tables.write_clustered(ratings(spark, sf_dir), path, "mid", lookups=["uid"])
-    return popularity.rating_count(tables.read_table(spark, path, RATING))
+    return tables.read_table(spark, path, RATING)
+
+
+def clustered_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return popularity.rating_count(_clustered(spark, sf_dir))
+
+
+def clustered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratings of three movies: the scan skips what cannot hold them."""
+    return _clustered(spark, sf_dir).where(F.col("mid").isin(*LOOKED_UP))
 
 
 # --- statistics ------------------------------------------------------------------
@@ -143,8 +168,7 @@ def average_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def statistics_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = popularity.monthly_totals(ratings(spark, sf_dir))
-    counts = popularity.count_from_totals(totals)
-    return counts.join(_rounded(popularity.average_from_totals(totals), "avg"), "mid")
+    return _rounded(popularity.statistics_from_totals(totals), "avg")
 
 
 # --- genres and tags -------------------------------------------------------------
@@ -183,7 +207,7 @@ def movies_with_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ratings(spark, sf_dir).select("uid").distinct()
+    return customer_ratings(spark, sf_dir).select("uid").distinct()
 
 
 def distinct_movies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,32 +217,66 @@ def distinct_movies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topk_positive_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = nearest.top_k_by_product(
         user_vectors(spark, sf_dir).withColumnRenamed("uid", "id"),
-        item_vectors(spark, sf_dir).withColumnRenamed("mid", "id"),
-        als.USER_MAX_RECOMMENDATION,
+        movie_vectors(spark, sf_dir).withColumnRenamed("mid", "id"),
+        als.PER_USER,
         positive=True,
     )
-    return nearest.flat(lists).withColumnRenamed("id", "uid")
+    return _rounded(nearest.flat(lists).withColumnRenamed("id", "uid"), "score")
+
+
+def _als(spark: SparkSession, sf_dir: str) -> als.ALSModel:
+    return als.keep(als.fit(customer_ratings(spark, sf_dir)))
 
 
 def als_predict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = evaluate.split(ratings(spark, sf_dir))
+    train, test = evaluate.split(customer_ratings(spark, sf_dir))
     model = als.keep(als.fit(train))
     return als.predict(model, test.select("uid", "mid", "score"))
 
 
+def als_predicted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test rows that get a prediction: user and movie both have factors."""
+    return als_predict_pairs(spark, sf_dir).where("NOT isnan(prediction)").select("uid", "mid", "score")
+
+
+def als_factor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users and movies with factors."""
+    model = _als(spark, sf_dir)
+    rows = [
+        factors.select(F.lit(kind).alias("kind"), "id", F.size("features").alias("width"))
+        for kind, factors in (("movie", model.itemFactors), ("user", model.userFactors))
+    ]
+    return rows[0].unionByName(rows[1])
+
+
 def als_user_recs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return als.recommend_users(als.keep(als.fit(ratings(spark, sf_dir))))
+    return als.recommend_users(_als(spark, sf_dir))
+
+
+def als_list_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each user's list: length within bounds, order, movies once, scores as predicted."""
+    model = _als(spark, sf_dir)
+    rows = als.recommend_users(model).select("uid", F.posexplode("recs").alias("pos", "rec"))
+    scored = als.predict(model, rows.select("uid", "pos", F.col("rec.mid").alias("mid"), "rec.score"))
+    near = F.abs(F.col("score") - F.col("prediction")) <= 1e-4 * F.greatest(F.lit(1.0), F.abs("score"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "score"))), lambda r: r["score"])
+    return scored.groupBy("uid").agg(
+        (F.count("mid") <= als.PER_USER).alias("short"),
+        (F.count_distinct("mid") == F.count("mid")).alias("once"),
+        (ordered == F.reverse(F.array_sort(F.collect_list("score")))).alias("falling"),
+        (F.min("score") > 0).alias("positive"),
+        F.min(near).alias("as_predicted"),
+    )
 
 
 def item_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = item_vectors(spark, sf_dir).withColumnRenamed("mid", "id")
     rows = nearest.flat(similarity.similar_movies(vectors, SIMILAR).withColumnRenamed("mid", "id"))
-    return rows.withColumnsRenamed({"mid": "other", "id": "mid"})
+    return _rounded(rows.withColumnsRenamed({"mid": "other", "id": "mid"}), "score")
 
 
 def als_item_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = als.keep(als.fit(ratings(spark, sf_dir)))
-    return similarity.similar_movies(model.itemFactors)
+    return similarity.similar_movies(_als(spark, sf_dir).itemFactors)
 
 
 # --- evaluation ------------------------------------------------------------------
@@ -233,19 +291,16 @@ def split_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rmse_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = evaluate.split(ratings(spark, sf_dir))
-    return _rounded(evaluate.rmse_joined(test, evaluate.movie_means(train), ["mid"]), "rmse")
+    return _rounded(evaluate.rmse_of_means(ratings(spark, sf_dir)), "rmse")
 
 
 def rmse_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = evaluate.split(ratings(spark, sf_dir))
-    predicted = test.select("uid", "mid").join(evaluate.movie_means(train), "mid")
-    return _rounded(evaluate.rmse_joined(test, predicted, ["uid", "mid"]), "rmse")
+    return _rounded(evaluate.rmse_of_pairs(test, evaluate.movie_means(train)), "rmse")
 
 
 def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = evaluate.split(ratings(spark, sf_dir))
-    return _rounded(evaluate.shrinkage_grid(train, test, SHRINKAGE), "rmse")
+    return _rounded(evaluate.shrinkage_grid(ratings(spark, sf_dir), SHRINKAGE), "rmse")
 
 
 def grid_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,8 +308,9 @@ def grid_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def als_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = evaluate.split(ratings(spark, sf_dir))
-    return evaluate.grid_search(train, test, SEARCH_RANKS, parallelism=4)
+    """The whole default grid: 12 fits."""
+    train, test = evaluate.split(customer_ratings(spark, sf_dir))
+    return evaluate.grid_search(train, test, parallelism=4)
 
 
 def queries() -> dict[str, Query]:
@@ -265,8 +321,10 @@ def queries() -> dict[str, Query]:
             load_movies,
             load_ratings,
             load_tags,
+            typed_movies,
             sink_roundtrip,
             clustered_counts,
+            clustered_lookup,
             rating_count,
             popular_top_n,
             rating_yearmonth,
@@ -285,7 +343,10 @@ def queries() -> dict[str, Query]:
             distinct_movies,
             topk_positive_per_user,
             als_predict_pairs,
+            als_predicted_rows,
+            als_factor_ids,
             als_user_recs,
+            als_list_check,
             item_similarity,
             als_item_similarity,
             split_train,
@@ -310,6 +371,10 @@ RATINGS = """ratings AS (
   SELECT CAST(l_suppkey AS INT) AS uid, CAST(l_partkey AS INT) AS mid, l_quantity / 10 AS score,
          CAST(floor(epoch(l_shipdate)) AS INT) AS timestamp
   FROM lineitem)"""
+CUSTOMERS = """customers AS (
+  SELECT CAST(o_custkey AS INT) AS uid, CAST(l_partkey AS INT) AS mid, l_quantity / 10 AS score,
+         CAST(floor(epoch(l_shipdate)) AS INT) AS timestamp
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 MOVIES = f"""vocabulary AS (SELECT {_list(VOCABULARY)} AS v),
 movies AS (
   SELECT CAST(p_partkey AS INT) AS mid, p_name AS name, p_type || ' ' || p_name AS descri,
@@ -366,10 +431,15 @@ def _xxh64(source: str, *columns: str) -> str:
     return ",\n".join(ctes)
 
 
-SPLIT = f"""{RATINGS},
-{_xxh64("ratings", "0", "uid", "mid", "timestamp")},
+
+
+def _split(source: str) -> str:
+    return f"""{_xxh64(source, "0", "uid", "mid", "timestamp")},
 train AS (SELECT uid, mid, score, timestamp FROM digested WHERE digest >> 11 < {int(0.8 * 2**53)}),
 test AS (SELECT uid, mid, score, timestamp FROM digested WHERE digest >> 11 >= {int(0.8 * 2**53)})"""
+
+
+SPLIT = f"{RATINGS},\n{_split('ratings')}"
 MEANS = f"""{SPLIT},
 means AS (SELECT mid, avg(score) AS prediction FROM train GROUP BY mid)"""
 GRID = f"""{SPLIT},
@@ -395,7 +465,7 @@ best AS (
 
 
 def oracle_sql() -> dict[str, str]:
-    """Name to DuckDB SQL; the ALS queries have no equivalent in SQL."""
+    """Name to DuckDB SQL; what ALS learns has no equivalent in SQL."""
     yearmonth = f"WITH {MONTHS} SELECT mid, score, yearmonth FROM months"
     genres_default = [genre.replace("Famil y", "Family") for genre in GENRES_AS_SHIPPED]
     averages = f"WITH {AVERAGES} SELECT * FROM averages"
@@ -405,6 +475,8 @@ def oracle_sql() -> dict[str, str]:
         "load_tags": f"WITH {TAGS} SELECT * FROM tags",
         "sink_roundtrip": averages,
         "clustered_counts": COUNTS,
+        "clustered_lookup": f"WITH {RATINGS} SELECT * FROM ratings WHERE mid IN {LOOKED_UP}",
+        "typed_movies": f"WITH {MOVIES} SELECT * FROM movies",
         "rating_count": COUNTS,
         "popular_top_n": f"{COUNTS} ORDER BY count DESC, mid LIMIT {TOP_MOVIES}",
         "rating_yearmonth": yearmonth,
@@ -434,28 +506,45 @@ SELECT mid, string_agg(DISTINCT tag, '|' ORDER BY tag) AS tags FROM tags GROUP B
         "movies_with_tags": f"""WITH {MOVIES}, {TAGS}, joined AS (
   SELECT mid, string_agg(DISTINCT tag, '|' ORDER BY tag) AS tags FROM tags GROUP BY mid)
 SELECT * FROM movies LEFT JOIN joined USING (mid)""",
-        "distinct_users": f"WITH {RATINGS} SELECT DISTINCT uid FROM ratings",
+        "distinct_users": f"WITH {CUSTOMERS} SELECT DISTINCT uid FROM customers",
         "distinct_movies": f"WITH {RATINGS} SELECT DISTINCT mid FROM ratings",
-        "topk_positive_per_user": f"""WITH {RATINGS},
-weights AS (SELECT uid, mid, sum(score) AS weight FROM ratings GROUP BY uid, mid),
-items AS (SELECT CAST(vec_id AS INT) AS mid, CAST(embedding AS DOUBLE[]) AS f FROM embeddings),
+        "topk_positive_per_user": f"""WITH {CUSTOMERS},
+weights AS (SELECT uid, mid, sum(score) AS weight FROM customers GROUP BY uid, mid),
+vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS f, count(*) OVER () AS n FROM embeddings),
+items AS (
+  SELECT CAST(p_partkey AS INT) AS mid, f FROM part JOIN vectors ON p_partkey % n = vec_id),
 parts AS (SELECT mid, unnest(f) AS x, generate_subscripts(f, 1) AS d FROM items),
 sums AS (
   SELECT uid, d, sum(weight * x) / sum(weight) AS x FROM weights JOIN parts USING (mid)
   GROUP BY uid, d),
 users AS (SELECT uid, list(x ORDER BY d) AS f FROM sums GROUP BY uid),
+-- Movies share vectors, so a user's score is worked out once for each vector.
 scored AS (
-  SELECT uid, mid, list_inner_product(users.f, items.f) AS product FROM users, items)
+  SELECT uid, vec_id, list_inner_product(users.f, vectors.f) AS product FROM users, vectors),
+ranked AS (
+  SELECT uid, CAST(p_partkey AS INT) AS mid, product
+  FROM scored JOIN vectors USING (vec_id) JOIN part ON p_partkey % n = vec_id WHERE product > 0)
 SELECT uid, mid, round(product, 6) AS score,
-       CAST(row_number() OVER (PARTITION BY uid ORDER BY round(product, 6) DESC, mid) AS INT) AS rk
-FROM scored WHERE product > 0 QUALIFY rk <= {als.USER_MAX_RECOMMENDATION}""",
+       CAST(row_number() OVER (PARTITION BY uid ORDER BY product DESC, mid) AS INT) AS rk
+FROM ranked QUALIFY rk <= {als.PER_USER}""",
+        "als_predicted_rows": f"""WITH {CUSTOMERS}, {_split("customers")}
+SELECT uid, mid, score FROM test
+WHERE uid IN (SELECT uid FROM train) AND mid IN (SELECT mid FROM train)""",
+        "als_factor_ids": f"""WITH {CUSTOMERS}
+SELECT DISTINCT 'user' AS kind, uid AS id, {als.RANK} AS width FROM customers
+UNION ALL SELECT DISTINCT 'movie', mid, {als.RANK} FROM customers""",
+        "als_list_check": f"""WITH {CUSTOMERS}
+SELECT DISTINCT uid, true AS short, true AS once, true AS falling, true AS positive,
+       true AS as_predicted
+FROM customers""",
         "item_similarity": f"""WITH items AS (
   SELECT CAST(vec_id AS INT) AS mid, CAST(embedding AS DOUBLE[]) AS f FROM embeddings),
 scored AS (
-  SELECT a.mid, b.mid AS other, round(list_cosine_similarity(a.f, b.f), 6) AS score
+  SELECT a.mid, b.mid AS other, list_cosine_similarity(a.f, b.f) AS score
   FROM items a JOIN items b ON a.mid <> b.mid)
-SELECT mid, other, score,
-       CAST(row_number() OVER (PARTITION BY mid ORDER BY score DESC, other) AS INT) AS rk
+SELECT mid, other, round(score, 6) AS score,
+       CAST(row_number() OVER (PARTITION BY mid ORDER BY scored.score DESC, other) AS INT) AS rk
 FROM scored QUALIFY rk <= {SIMILAR}""",
         "split_train": f"WITH {SPLIT} SELECT * FROM train",
         "split_test": f"WITH {SPLIT} SELECT * FROM test",

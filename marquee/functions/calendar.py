@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 SECONDS_PER_DAY = 86400
 
 
-def _local_time(epoch_seconds: Column, zone: str) -> Column:
+def local_time(epoch_seconds: Column, zone: str) -> Column:
     """Wall-clock time in ``zone``, whatever the session's own zone is."""
     utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
         secs=epoch_seconds.cast("decimal(18,6)")
@@ -21,7 +21,7 @@ def year_month(epoch_seconds: Column, zone: str = "UTC") -> Column:
     if zone == "UTC":
         day = F.date_from_unix_date(F.floor(epoch_seconds / SECONDS_PER_DAY).cast("int"))
     else:
-        day = _local_time(epoch_seconds, zone)
+        day = local_time(epoch_seconds, zone)
     return F.year(day) * 100 + F.month(day)
 
 

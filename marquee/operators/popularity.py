@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions.calendar import year_month
+from marquee.functions.calendar import local_time, year_month
 
 
 def rating_yearmonth(ratings: DataFrame, zone: str = "UTC") -> DataFrame:
@@ -32,16 +32,21 @@ def rating_count_by_month(ratings: DataFrame, zone: str = "UTC") -> DataFrame:
     )
 
 
-def popular_latest_months(ratings: DataFrame, months: int = 1, n: int | None = None) -> DataFrame:
-    """``rating_count_by_month`` for the last ``months`` calendar months (UTC).
+def popular_latest_months(
+    ratings: DataFrame, months: int = 1, n: int | None = None, zone: str = "UTC"
+) -> DataFrame:
+    """``rating_count_by_month`` for the last ``months`` calendar months of the zone.
 
     The months end with the one of the latest rating. They are picked by a bound on
     ``timestamp`` itself, which the scan can use to skip row groups.
     """
-    last_day = F.date_from_unix_date(F.floor(F.max("timestamp") / 86400).cast("int"))
-    first_day = F.add_months(F.trunc(last_day, "month"), 1 - months)
-    since = ratings.agg((F.unix_date(first_day).cast("long") * 86400).alias("since")).scalar()
-    counts = rating_count_by_month(ratings.filter(F.col("timestamp") >= since))
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    latest = local_time(F.max("timestamp"), zone)
+    first_day = F.add_months(F.trunc(latest, "month"), 1 - months).cast("timestamp_ntz")
+    begin = F.convert_timezone(F.lit(zone), F.lit("UTC"), first_day)
+    seconds = F.timestamp_diff("SECOND", epoch, begin)
+    since = ratings.agg(seconds.alias("since")).scalar()
+    counts = rating_count_by_month(ratings.filter(F.col("timestamp") >= since), zone)
     return counts if n is None else counts.limit(n)
 
 
@@ -70,6 +75,13 @@ def count_from_totals(totals: DataFrame) -> DataFrame:
     return totals.groupBy("mid").agg(F.sum("count").alias("count"))
 
 
+def statistics_from_totals(totals: DataFrame) -> DataFrame:
+    """``(mid, count, avg)``: both statistics per movie from one pass over the totals."""
+    return totals.groupBy("mid").agg(
+        F.sum("count").alias("count"), (F.sum("total") / F.sum("scored")).alias("avg")
+    )
+
+
 def count_by_month_from_totals(totals: DataFrame) -> DataFrame:
     return _latest_first(totals.select("yearmonth", "mid", "count"))
 

@@ -92,7 +92,7 @@ def recommend(
     rank: int = als.RANK,
     iterations: int = als.ITERATIONS,
     reg: float = als.REG,
-    per_user: int = als.USER_MAX_RECOMMENDATION,
+    per_user: int = als.PER_USER,
     per_movie: int = 20,
     seed: int = 0,
     fmt: str = "parquet",

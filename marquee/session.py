@@ -6,6 +6,9 @@ import os
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -18,7 +21,8 @@ def local_session(app: str = "marquee", cores: str | int = "*", **conf: str) ->
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
     for key, value in conf.items():
@@ -44,6 +48,35 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return os.path.join(shared_dir(spark), f"marquee-{spark.sparkContext.applicationId}")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new path in this application's part of the shared folder."""
+    return os.path.join(scratch_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what is at ``path``, in whatever file system it names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A path for a table that is deleted when the block ends."""
+    path = scratch_path(spark, name)
+    try:
+        yield path
+    finally:
+        remove(spark, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables and models of this application.
+
+    For its end: results that are not computed yet may still read them.
+    """
+    remove(spark, scratch_dir(spark))

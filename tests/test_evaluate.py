@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import glob
 import math
 
 import pytest
@@ -7,6 +8,7 @@ from conftest import SMALL, plan_of
 from pyspark.sql import functions as F
 
 from marquee.operators import evaluate
+from marquee.session import scratch_dir
 from marquee.sources.warehouse import ratings
 
 
@@ -56,12 +58,23 @@ def test_joined_rmse_counts_every_pair_of_the_join(spark, ratings_of):
     assert plan.count("partial_var_pop") == 2
 
 
-def test_shrinkage_grid_against_formed_rows(spark):
-    train, test = evaluate.split(ratings(spark, SMALL))
-    grid = {row.reg: row.rmse for row in evaluate.shrinkage_grid(train, test, (0.5, 20.0)).collect()}
+def test_shrinkage_grid_against_formed_rows(spark, ratings_of):
+    data = ratings(spark, SMALL).unionAll(ratings_of(*[(i, 10**6 + i, 2.5, i) for i in range(40)]))
+    train, test = evaluate.split(data)
+    overall = train.agg(F.avg("score")).first()[0]
+    totals = train.groupBy("mid").agg(F.sum("score").alias("s"), F.count("score").alias("n"))
+    grid = {row.reg: row.rmse for row in evaluate.shrinkage_grid(data, (0.5, 20.0)).collect()}
     for reg, error in grid.items():
-        predicted = evaluate.shrunken_means(train, [reg])
+        predicted = totals.select("mid", ((F.col("s") + reg * overall) / (F.col("n") + reg)).alias("prediction"))
         assert evaluate.rmse(test.join(predicted, "mid")).first().rmse == pytest.approx(error)
+    plain = evaluate.rmse(test.join(evaluate.movie_means(train), "mid")).first().rmse
+    assert evaluate.rmse_of_means(data).first().rmse == pytest.approx(plain)
+
+
+def test_errors_of_means_scan_the_ratings_once(spark):
+    data = ratings(spark, SMALL)
+    for df in (evaluate.rmse_of_means(data), evaluate.shrinkage_grid(data, (0.5, 20.0))):
+        assert plan_of(df).count("FileScan") == 1
 
 
 def grid_of(spark, *points):
@@ -95,6 +108,13 @@ def test_grid_search_on_als(spark):
     assert best.rmse == one.agg(F.min("rmse")).first()[0]
 
 
+def test_grid_search_leaves_no_model_behind(spark):
+    train, test = evaluate.split(ratings(spark, SMALL))
+    before = set(glob.glob(f"{scratch_dir(spark)}/*"))
+    evaluate.grid_search(train, test, (2,), (1.0, 0.1), iterations=1, blocks=2)
+    assert set(glob.glob(f"{scratch_dir(spark)}/*")) == before
+
+
 def test_default_grid():
     assert len(evaluate.RANKS) * len(evaluate.REGS) == 12
 

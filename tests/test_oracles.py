@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from check_oracles import differences, oracle
 from conftest import SMALL, plan_of
 
 from __spark_entry__ import entry, oracle_sql, queries
 
-SQL = oracle_sql()
+
+def own(queries: dict) -> dict:
+    """Without the queries of the subpackage that can be left out."""
+    return {k: v for k, v in queries.items() if not re.match(r"op\d+_|pipeline$", k)}
+
+
+SQL = own(oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -22,8 +30,8 @@ def test_same_as_oracle(spark, duck, name):
 
 
 def test_every_oracle_has_its_query():
-    assert set(SQL) < set(queries())
-    assert {name for name in queries() if name not in SQL} == {
+    assert set(SQL) < set(own(queries()))
+    assert {name for name in own(queries()) if name not in SQL} == {
         "als_predict_pairs",
         "als_user_recs",
         "als_item_similarity",
@@ -31,6 +39,20 @@ def test_every_oracle_has_its_query():
     }
 
 
+def test_statistics_scan_the_ratings_once(spark):
+    for name, scans in (("statistics_one_pass", 1), ("rmse_baseline", 1), ("grid_points", 1), ("rmse_pairs", 2)):
+        assert plan_of(queries()[name](spark, SMALL)).count("FileScan") <= scans
+
+
+def test_loaders_read_text_files(spark):
+    for name in ("load_movies", "load_ratings", "load_tags"):
+        assert "FileScan text" in plan_of(queries()[name](spark, SMALL))
+
+
+def test_lookups_reach_the_scan(spark):
+    assert "In(mid, [7,77,777])" in plan_of(queries()["clustered_lookup"](spark, SMALL))
+
+
 def test_entry(spark):
     assert entry(spark).columns == ["genre", "rk", "mid", "avg"]
     assert entry(spark).count() > 0
