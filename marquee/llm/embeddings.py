@@ -126,7 +126,9 @@ def _compare(most: int):
 
 def _blocks(rows: DataFrame, name: str, most: int) -> DataFrame:
     """``rows`` dealt into blocks of nodes with one ``name``, those of many cut by a digest."""
-    sizes = rows.groupBy(name).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = stored(rows, "members")
+    # Written, so that Spark can split the shuffle of a frequent name in the join.
+    sizes = stored(rows.groupBy(name).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     part = F.pmod(F.xxhash64("node", name), F.ceil(F.col("n") / most).cast("long"))
     return rows.join(sizes, name).withColumn("block", F.xxhash64(name, part)).drop("n", name)
 
