@@ -191,8 +191,10 @@ def repeated(rows: DataFrame, window: int, by_unit: bool = False, most: int = MO
     place, or, ``by_unit``, a text of another unit. Texts without such windows are left out.
     """
     listed = stored(_list(rows, window), "passages")
+    # Counts are written before they are joined: the join then reads two plain shuffles, of
+    # which Spark splits the large partitions that a frequent anchor makes.
     several = listed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    listed = stored(listed.join(several, "hash"), "anchored")
+    listed = stored(listed.join(stored(several, "several"), "hash"), "anchored")
     low, high = F.min("unit"), F.max("unit")
     if not by_unit:
         # Two passages differ in their digest; one that occurs twice differs from itself.
@@ -210,7 +212,8 @@ def repeated(rows: DataFrame, window: int, by_unit: bool = False, most: int = MO
     sizes = passages.groupBy("hash").agg(
         F.count(F.lit(1)).alias("n"), (F.min("low") < F.max("high")).alias("again")
     )
-    passages = stored(passages.join(sizes.where("again").drop("again"), "hash"), "candidates")
+    sizes = stored(sizes.where("again").drop("again"), "sizes")
+    passages = stored(passages.join(sizes, "hash"), "candidates")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("windows").alias("end")))
     # A passage within reach of two units by itself needs no comparison.
     done = passages.where("low < high").select("hash", "digest", whole.alias("ranges"))
@@ -232,7 +235,8 @@ def repeated(rows: DataFrame, window: int, by_unit: bool = False, most: int = MO
         keys = keys.groupBy("key").agg(
             F.count(F.lit(1)).alias("n"), (F.min("low") < F.max("high")).alias("again")
         )
-        parts = stored(parts.join(keys.where("again").drop("again"), "key"), "halves")
+        keys = stored(keys.where("again").drop("again"), "keys")
+        parts = stored(parts.join(keys, "key"), "halves")
         alone = parts.where("n = 1").withColumn("ranges", whole)
         some = parts.where((F.col("n") > 1) & (F.col("n") <= most))
         different = some.groupBy("key", "digest").agg(
