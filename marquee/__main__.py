@@ -9,7 +9,6 @@ from pyspark.sql import SparkSession
 from marquee.functions.genre_names import GENRES
 from marquee.operators import als, evaluate
 from marquee.plans import jobs
-from marquee.session import clear_scratch
 from marquee.sources.text import FAILFAST, MODES
 
 
@@ -76,7 +75,6 @@ def main(arguments: list[str] | None = None) -> None:
             options.parallelism,
             fmt,
         ).show()
-        clear_scratch(spark)
 
 
 if __name__ == "__main__":

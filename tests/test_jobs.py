@@ -89,6 +89,17 @@ def test_tuning(spark, target):
     assert len(best) == 1 and best[0].rank in (2, 3)
 
 
+def test_options_of_the_command_line(spark, target, capsys):
+    main(["recommend", "--target", target, "--rank", "3", "--reg", "0.5", "--iterations", "1", "--per-user", "1"])
+    assert all(len(row.recs) == 1 for row in read_table(spark, table_path(target, schemas.USER_RECS)).collect())
+    assert read_table(spark, table_path(target, jobs.MODEL) + "/itemFactors").first().features.__len__() == 3
+    main(["statistics", "--target", target, "--genres", "War", "--zone", "Asia/Tokyo"])
+    top = read_table(spark, table_path(target, schemas.GENRES_TOP_MOVIES)).collect()
+    assert [row.genres for row in top] == ["War"]
+    main(["tune", "--target", target, "--ranks", "2", "--regs", "1.0", "0.1", "--iterations", "1"])
+    assert "rmse" in capsys.readouterr().out
+
+
 def test_bad_line_stops_the_load_and_can_be_left_out(spark, files, tmp_path):
     movies, _, tags = files[0]
     (tmp_path / "ratings").write_text("1,1,3,1260759144\n1,2\n")

@@ -209,3 +209,14 @@ def test_repeated_tags_go_before_they_meet(tagged):
     assert plan.index("collect_list") < plan.index("partial_collect_list")
     before = plan[plan.index("partial_collect_list") :]
     assert re.search(r"hashpartitioning\(mid#\d+, tag#\d+", before)
+
+
+def test_latest_month_follows_the_zone(spark, ratings_of):
+    # 2009-12-31 23:30 UTC, still November in UTC before that, already January in Tokyo.
+    data = ratings_of((1, 1, 1.0, 1262302200), (1, 2, 1.0, 1262300000 - 40 * 86400), (1, 3, 1.0, 1262271600))
+    latest = {row.mid: row.yearmonth for row in popularity.popular_latest_months(data).collect()}
+    assert latest == {1: 200912, 3: 200912}
+    tokyo = popularity.popular_latest_months(data, zone="Asia/Tokyo").collect()
+    assert {row.mid: row.yearmonth for row in tokyo} == {1: 201001, 3: 201001}
+    two = popularity.popular_latest_months(data, months=3, zone="Asia/Tokyo").collect()
+    assert {row.mid for row in two} == {1, 2, 3}

@@ -135,3 +135,15 @@ def test_only_a_local_session_may_pick_a_folder():
         shared_dir(session("yarn"))
     named = session("yarn", **{"spark.checkpoint.dir": "hdfs://shared"})
     assert shared_dir(named) == named.sparkContext.folder == "hdfs://shared"
+
+
+def test_a_lookup_reads_few_files_and_row_groups(spark, tmp_path):
+    rows = spark.range(40_000).selectExpr("CAST(id % 1000 AS INT) AS mid", "CAST(id AS INT) AS uid")
+    write_clustered(rows, str(tmp_path / "t"), "mid", files=10)
+    looked_up = spark.read.parquet(str(tmp_path / "t")).where("mid = 77")
+    held = [pq.ParquetFile(path).metadata for path in glob.glob(str(tmp_path / "t" / "*.parquet"))]
+    groups = [meta.row_group(i).column(0).statistics for meta in held for i in range(meta.num_row_groups)]
+    assert len(groups) >= 10
+    assert sum(g.min <= 77 <= g.max for g in groups) <= 2
+    assert "EqualTo(mid,77)" in plan_of(looked_up)
+    assert looked_up.count() == 40
