@@ -1,0 +1,151 @@
+"""The registered queries without SQL against plain versions, over a whole small table."""
+
+from __future__ import annotations
+
+import hashlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import test_embeddings
+import test_quality
+import test_simhash
+import test_suffix_dedup
+
+from marquee.llm import edit_counts, extraction, queries, sentencepieces, suffix_dedup
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    return lambda name: {r[0]: r for r in queries.queries()[name](spark, SF).collect()}
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def sha(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
+def test_op1(rows, documents):
+    got = rows("op1_quality_rules")
+    assert got.keys() == documents.keys()
+    for i, text in documents.items():
+        r = got[i]
+        found = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
+        assert found == test_quality.plain_counts(text)
+
+
+def test_op2(spark, rows):
+    got = rows("op2_html_text")
+    for page in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        inner = page.html.partition("<article>")[2].partition("</article>")[0]
+        text = "\n\n".join(b for b, _ in extraction.blocks_of(f"<article>{inner}</article>"))
+        assert (got[page.page_id].text, got[page.page_id].n_chars) == (text, len(text))
+
+
+def test_op3(spark, rows, documents):
+    got = rows("op3_edit_counts")
+    counter = edit_counts._counter(edit_counts.default_ranks(), edit_counts.default_pattern())
+    count = lambda text: len(counter.encoding.encode_ordinary(text))
+    table = spark.read.parquet(f"{SF}/documents.parquet").selectExpr(
+        "doc_id", "source", *(f"xxhash64({i}, doc_id) AS d{i}" for i in range(3))
+    )
+    for r in table.collect():
+        before = text = documents[r.doc_id]
+        n = len(text) + 1
+        for digest, removed, inserted in ((r.d0, 40, ""), (r.d1, 0, f" Added by {r.source}: don't, 1234.\n"), (r.d2, 7, "naïve 漢字")):
+            start = min(digest % n, len(text))
+            text = text[:start] + inserted + text[start + removed :]
+        found = got[r.doc_id]
+        assert (found.n_tokens_before, found.n_tokens, found.n_chars) == (count(before), count(text), len(text))
+
+
+def test_op6(rows, documents):
+    got = rows("op6_sentencepiece")
+    library = sentencepieces.Agenda(sentencepieces.default_model()).library
+    for i, text in documents.items():
+        ids = library.encode(text, add_bos=True, add_eos=True)
+        expected = len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids).encode())
+        assert tuple(got[i][1:]) == expected
+
+
+def test_op7(rows, documents):
+    got = rows("op7_suffix_array")
+    texts = {i: t.encode() for i, t in documents.items()}
+    length = suffix_dedup.LENGTH
+    digests = {i: [hash(t[k : k + length]) for k in range(len(t) - length + 1)] for i, t in texts.items()}
+    seen = Counter(d for each in digests.values() for d in each)
+    removed = 0
+    for i, text in texts.items():
+        gone = np.zeros(len(text) + 2, bool)
+        for k, d in enumerate(digests[i]):
+            if seen[d] > 1:
+                gone[k + 1 : k + 1 + length] = True
+        spans = int((gone[1:] & ~gone[:-1]).sum())
+        kept = bytes(np.frombuffer(text, np.uint8)[~gone[1:-1]])
+        assert tuple(got[i][1:]) == (len(text), int(gone.sum()), spans, sha(kept))
+        removed += spans
+    assert removed > 50
+    assert test_suffix_dedup.brute_force([b"ab" * 300], 400) == [b""]
+
+
+def test_op8(rows, documents):
+    got = rows("op8_simhash")
+    ids = sorted(documents)
+    points = [test_simhash.plain_fingerprint(documents[i]) for i in ids]
+    expected = test_simhash.classes(points)
+    for i, point, least in zip(ids, points, expected):
+        assert tuple(got[i][1:]) == (f"{point:016x}", ids[least])
+
+
+def test_op9(spark, rows):
+    got = rows("op9_nn_descent")
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+    vectors = np.array([r.embedding for r in table], np.float64)
+    links, component = test_embeddings.expected(vectors)
+    for r, n, least in zip(table, links, component):
+        assert tuple(got[r.vec_id][1:]) == (n, table[least].vec_id, r.vec_id == table[least].vec_id)
+
+
+def test_pipeline_stages(spark):
+    """Each stage against a plain version on what the stage before kept."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    results = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, results[-1], SF)
+        results.append(spark.createDataFrame(out.collect(), out.schema))
+    raw, good, single, cut, mixed, encoded = results
+    assert all(df.columns == docs.columns for df in results[:-1])
+    texts = lambda df: {r.doc_id: r.text for r in df.collect()}
+
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    before, after = texts(raw), texts(good)
+    failed = {i for i, t in before.items() if test_quality.plain_counts(t)[-1]}
+    assert not failed & after.keys()
+    clean = {i for i, q in labels.items() if q == 1 and len(before[i].split()) >= 10} - failed
+    assert len(clean & after.keys()) > 0.95 * len(clean)
+    assert not {i for i, q in labels.items() if q == 0} & after.keys()
+
+    ids = sorted(after)
+    groups = test_simhash.classes([test_simhash.plain_fingerprint(after[i]) for i in ids])
+    assert set(texts(single)) == {ids[g] for g in groups}
+
+    ids = sorted(texts(single))
+    kept = test_suffix_dedup.brute_force([texts(single)[i].encode() for i in ids], suffix_dedup.LENGTH)
+    assert texts(cut) == {i: t for i, k in zip(ids, kept) if (t := k.decode("utf-8", "ignore"))}
+    assert all(r.n_chars == len(r.text) for r in cut.collect())
+
+    times = Counter(r.doc_id for r in mixed.collect())
+    taken = {r.doc_id: r.taken / r.size for r in queries.mixing.mix(cut).collect() if r.size}
+    assert times == {i: int(t + 0.5) for i, t in taken.items() if t >= 0.5}
+
+    library = sentencepieces.Agenda(sentencepieces.default_model()).library
+    expected = Counter((r.doc_id, len(library.encode(r.text, add_bos=True, add_eos=True))) for r in mixed.collect())
+    assert Counter((r.doc_id, r.n_tokens) for r in encoded.collect()) == expected
