@@ -51,11 +51,12 @@ _INLINE = frozenset(
 _CLOSED_BY_BLOCK = frozenset({"p"})
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar "
+    "ad ads advert adverts advertisement advertising adsense adsbygoogle banner sponsor sponsored promo promotion nav navbar "
     "navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent notice notices alert "
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "comment comments commentlist replies disqus popup modal overlay widget pagination pager".split()
 )
+_NAMES_OUTSIDE = _NAMES | {"header", "topbar", "author", "byline", "toolbar"}
 _BLOCK = pa.struct([("text", pa.large_string()), ("inside", pa.bool_())])
 
 
@@ -67,7 +68,7 @@ def _dropped(name: str, rest: str, inside: bool) -> bool:
     for key, value in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id") and name not in ("html", "body", "article", "main"):
-            if not _NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
+            if not (_NAMES if inside else _NAMES_OUTSIDE).isdisjoint(re.split(r"[^a-z]+", value)):
                 return True
         elif key == "role" and value in _ROLES:
             return True

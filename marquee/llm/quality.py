@@ -223,10 +223,11 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
             keys = [str(value).encode() for value in batch.column(key).to_pylist()]
             yield record_batch(schema, batch.column("label"), keys, [lines.tobytes() for lines in found])
 
-    # A repeated row of one key counts once, so the bound holds.
-    found = rows.mapInArrow(work, "label int, digest binary, features binary").dropDuplicates(["digest"])
-    got = sorted((row.digest, row.label, row.features) for row in found.collect())
-    return fit([np.frombuffer(f).reshape(-1, FEATURES) for _, _, f in got], [label for _, label, _ in got])
+    # One row of each key, the same in every run, so the bound holds.
+    found = rows.mapInArrow(work, "label int, digest binary, features binary").groupBy("digest")
+    found = found.agg(F.min(F.struct("label", "features")).alias("row")).orderBy("digest")
+    got = [row.row for row in found.collect()]
+    return fit([np.frombuffer(row.features).reshape(-1, FEATURES) for row in got], [row.label for row in got])
 
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, share double, labels string"
