@@ -233,7 +233,7 @@ class Agenda:
         """Packed ids and decoded text of each document."""
         cut = [self.cut(SPACE + text.replace(" ", SPACE)) if text else [] for text in documents]
         wanted = set().union(*cut)
-        unseen = wanted - self.packed.keys()
+        unseen = wanted.difference(self.packed)
         if len(self.packed) + len(unseen) > REMEMBERED:
             self.packed.clear()
             self.decoded.clear()

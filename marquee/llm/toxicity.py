@@ -193,7 +193,7 @@ def hits_of(text: str, found: dict[str, int | None]) -> tuple[int, list[tuple[in
 
 def features_of(text: str, lexicon: Lexicon, known: dict[str, int | None]) -> tuple[list[float], list]:
     words = set(_WORD.findall(text.lower()))
-    for word in words - known.keys():
+    for word in words.difference(known):
         known[word] = lexicon.match(word)
     if not any(known[word] is not None for word in words):
         return [0.0] * FEATURES, []
