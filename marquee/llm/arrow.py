@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Text bytes worked on at once; one longer text is a piece of its own.
 PIECE_BYTES = 4 << 20
 
+_SHIPPED: set[str] = set()
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, after its application's Python workers were given this package.
+
+    Functions that run in tasks import it there; Spark hands the file to each worker, as
+    ``--py-files`` would. Imported from an archive, it is there already.
+    """
+    context = df.sparkSession.sparkContext
+    package = Path(__file__).parent.parent
+    if context.applicationId not in _SHIPPED and package.is_dir():
+        archive = os.path.join(tempfile.mkdtemp(prefix="marquee-"), "marquee-package.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(package.rglob("*.py")):
+                out.write(path, path.relative_to(package.parent))
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+    return df
+
 
 def pieces(
     batches: Iterable[pa.RecordBatch], column: str, limit: int = PIECE_BYTES

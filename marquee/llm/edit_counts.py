@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.arrow import pieces, record_batch, texts
+from marquee.llm.arrow import pieces, record_batch, shipped, texts
 
 #: Characters after a pre-token that decide where it ends, at most.
 CONTEXT = 4
@@ -234,6 +234,6 @@ def count_edited(
             )
             yield record_batch(schema, batch.column(key), *(map(list, zip(*rows)) if rows else [[]] * 4))
 
-    return documents.select(key, text, edits).mapInArrow(
+    return documents.select(key, text, edits).transform(shipped).mapInArrow(
         work, f"`{key}` {kind}, n_tokens_before long, n_tokens long, n_reencoded long, n_chars long"
     )

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.arrow import record_batch
+from marquee.llm.arrow import record_batch, shipped
 from marquee.llm.components import components, stored
 
 THRESHOLD = 0.95
@@ -135,7 +135,7 @@ def _blocks(rows: DataFrame, name: str, most: int) -> DataFrame:
 
 def _solved(rows: DataFrame, most: int) -> DataFrame:
     spread = rows.select("block", "node", "vec").repartition("block").sortWithinPartitions("block")
-    return spread.mapInArrow(_compare(most), "u long, v long, cos double")
+    return spread.transform(shipped).mapInArrow(_compare(most), "u long, v long, cos double")
 
 
 def by_signs(nodes: DataFrame, count: int, attempt: int) -> DataFrame:
@@ -155,7 +155,7 @@ def by_signs(nodes: DataFrame, count: int, attempt: int) -> DataFrame:
             sides = signs @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(TABLES) << bits)
             yield record_batch(schema, batch.column("node"), sides.tolist())
 
-    sides = nodes.select("node", "vec").mapInArrow(work, "node long, sides array<long>")
+    sides = nodes.select("node", "vec").transform(shipped).mapInArrow(work, "node long, sides array<long>")
     rows = sides.select("node", F.explode("sides").alias("side"))
     return _solved(_blocks(rows, "side", BLOCK).join(nodes.select("node", "vec"), "node"), LIST)
 
@@ -208,7 +208,7 @@ def audit(nodes: DataFrame, classes: DataFrame, most: int = AUDIT) -> float:
                 yield record_batch(schema, [int(linked.sum())], [int(inside.sum())])
 
     rows = nodes.join(classes, "node", "left").select("node", "vec", F.coalesce("component", "node").alias("component"))
-    links, inside = rows.mapInArrow(work, "links long, inside long").agg(F.sum("links"), F.sum("inside")).first()
+    links, inside = rows.transform(shipped).mapInArrow(work, "links long, inside long").agg(F.sum("links"), F.sum("inside")).first()
     return inside / links if links else 1.0
 
 
@@ -241,7 +241,7 @@ def count_links(nodes: DataFrame, classes: DataFrame) -> DataFrame:
                 yield record_batch(schema, node[second], linked.T @ copies[~second])
 
     spread = dealt.repartition("block").sortWithinPartitions("block")
-    return spread.mapInArrow(work, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return spread.transform(shipped).mapInArrow(work, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.arrow import pieces, record_batch, texts
+from marquee.llm.arrow import pieces, record_batch, shipped, texts
 from marquee.llm.components import stored
 from marquee.llm.suffix_dedup import removed, row_id
 from marquee.llm.windows import repeated
@@ -166,7 +166,7 @@ def parsed(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
             yield record_batch(schema, *(batch.column(f.name) for f in fields), found)
 
     kind, address = rows.schema["key"].dataType.simpleString(), rows.schema["url"].dataType.simpleString()
-    return rows.mapInArrow(
+    return rows.transform(shipped).mapInArrow(
         work,
         f"rid binary, unit long, host string, key {kind}, url {address}, blocks array<struct<text:string,inside:boolean>>",
     )
@@ -199,7 +199,7 @@ def _covered(rows: DataFrame, length: int) -> DataFrame:
                 out += [(rid, unit, host, i, b["text"], b["inside"]) for i, (b, m) in enumerate(zip(blocks, marks)) if m]
             yield record_batch(schema, *(map(list, zip(*out)) if out else [[] for _ in schema]))
 
-    return rows.select("rid", "unit", "host", "blocks", "ranges").mapInArrow(
+    return rows.select("rid", "unit", "host", "blocks", "ranges").transform(shipped).mapInArrow(
         work, "rid binary, unit long, host string, at int, block string, inside boolean"
     )
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.arrow import pieces, record_batch, texts
+from marquee.llm.arrow import pieces, record_batch, shipped, texts
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -224,7 +224,7 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
             yield record_batch(schema, batch.column("label"), keys, [lines.tobytes() for lines in found])
 
     # One row of each key, the same in every run, so the bound holds.
-    found = rows.mapInArrow(work, "label int, digest binary, features binary").groupBy("digest")
+    found = rows.transform(shipped).mapInArrow(work, "label int, digest binary, features binary").groupBy("digest")
     found = found.agg(F.min(F.struct("label", "features")).alias("row")).orderBy("digest")
     got = [row.row for row in found.collect()]
     return fit([np.frombuffer(row.features).reshape(-1, FEATURES) for row in got], [row.label for row in got])
@@ -279,7 +279,7 @@ def assess(documents: DataFrame, field: Field, key: str = "doc_id", text: str =
             )
             yield record_batch(schema, batch.column(key), *judge(texts(batch, text), field))
 
-    return documents.select(key, text).mapInArrow(work, f"`{key}` {kind}, {MEASURES}")
+    return documents.select(key, text).transform(shipped).mapInArrow(work, f"`{key}` {kind}, {MEASURES}")
 
 
 def keep(documents: DataFrame, field: Field, text: str = "text") -> DataFrame:
@@ -289,4 +289,4 @@ def keep(documents: DataFrame, field: Field, text: str = "text") -> DataFrame:
         for batch in pieces(batches, text):
             yield batch.filter(pa.array(judge(texts(batch, text), field)[6], pa.bool_()))
 
-    return documents.mapInArrow(work, documents.schema)
+    return documents.transform(shipped).mapInArrow(work, documents.schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.arrow import pieces, record_batch, texts
+from marquee.llm.arrow import pieces, record_batch, shipped, texts
 
 SPACE = "▁"
 REMEMBERED = 1 << 19
@@ -285,7 +285,7 @@ def encode_decode(
             schema = pa.schema([batch.schema.field(key), ("ids", pa.large_binary()), ("decoded", pa.large_string())])
             yield record_batch(schema, batch.column(key), [a for a, _ in done], [b for _, b in done])
 
-    return documents.select(key, text).mapInArrow(work, f"`{key}` {kind}, ids binary, decoded string")
+    return documents.select(key, text).transform(shipped).mapInArrow(work, f"`{key}` {kind}, ids binary, decoded string")
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:

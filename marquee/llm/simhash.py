@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.arrow import pieces, raw, record_batch
+from marquee.llm.arrow import pieces, raw, record_batch, shipped
 from marquee.llm.components import components, stored
 
 BITS = 64
@@ -98,7 +98,7 @@ def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text",
             schema = pa.schema([batch.schema.field(key), ("fp", pa.int64())])
             yield record_batch(schema, batch.column(key), fingerprint(values).view(np.int64))
 
-    return documents.select(key, text).mapInArrow(work, f"`{key}` {kind}, fp long")
+    return documents.select(key, text).transform(shipped).mapInArrow(work, f"`{key}` {kind}, fp long")
 
 
 def masks(points: int) -> list[int]:
@@ -265,7 +265,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     points = stored(rows.groupBy("fp").agg(F.min(key).alias("first")), "points")
     shards = sharded(points, masks(points.count()))
     shards = shards.repartition("shard").sortWithinPartitions("shard", "fp")
-    classes = components(shards.mapInArrow(_links, "a long, b long"))
+    classes = components(shards.transform(shipped).mapInArrow(_links, "a long, b long"))
     named = points.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp")
     )

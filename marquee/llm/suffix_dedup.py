@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.arrow import pieces, raw, record_batch
+from marquee.llm.arrow import pieces, raw, record_batch, shipped
 from marquee.llm.windows import RANGES, repeated
 
 LENGTH = 400
@@ -76,7 +76,7 @@ def dedup(documents: DataFrame, length: int = LENGTH, key: str = "doc_id", text:
             )
 
     spans = "array<struct<start:long,end:long>>"
-    return rows.select(key, text, "__ranges").mapInArrow(work, f"`{key}` {kind}, n_bytes long, spans {spans}, kept binary")
+    return rows.select(key, text, "__ranges").transform(shipped).mapInArrow(work, f"`{key}` {kind}, n_bytes long, spans {spans}, kept binary")
 
 
 def rewrite(documents: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", **most) -> DataFrame:
@@ -94,7 +94,7 @@ def rewrite(documents: DataFrame, length: int = LENGTH, key: str = "doc_id", tex
             kept = pa.array(kept, pa.large_binary()).cast(pa.large_string()).cast(batch.schema.field(text).type)
             yield batch.set_column(at, text, kept).select(columns)
 
-    return rows.select(*columns, "__ranges").mapInArrow(work, documents.schema)
+    return rows.select(*columns, "__ranges").transform(shipped).mapInArrow(work, documents.schema)
 
 
 __all__ = ["RANGES", "cut", "dedup", "removed", "rewrite", "row_id"]

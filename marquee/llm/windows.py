@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.arrow import pieces, raw, record_batch
+from marquee.llm.arrow import pieces, raw, record_batch, shipped
 from marquee.llm.components import stored
 from marquee.llm.suffixes import repeated_starts
 
@@ -106,7 +106,7 @@ def _list(rows: DataFrame, window: int) -> DataFrame:
                 columns[6] += place
             yield record_batch(schema, *columns)
 
-    return rows.mapInArrow(
+    return rows.transform(shipped).mapInArrow(
         work, "rid binary, unit long, hash long, digest binary, start int, windows int, anchor int"
     )
 
@@ -145,7 +145,7 @@ def _mark(passages: DataFrame, window: int) -> DataFrame:
             yield solve(held)
 
     spread = passages.select(*names).repartition("key").sortWithinPartitions("key")
-    return spread.mapInArrow(work, f"key long, digest binary, ranges {RANGES}")
+    return spread.transform(shipped).mapInArrow(work, f"key long, digest binary, ranges {RANGES}")
 
 
 def _halves(passages: DataFrame, window: int, level: int) -> DataFrame:
@@ -180,7 +180,7 @@ def _halves(passages: DataFrame, window: int, level: int) -> DataFrame:
             yield record_batch(schema, *map(list, columns))
 
     kinds = "hash long, parent binary, first int, windows int, anchor int, low long, high long, bytes binary"
-    return passages.select(*names).mapInArrow(work, f"{kinds}, key long, digest binary")
+    return passages.select(*names).transform(shipped).mapInArrow(work, f"{kinds}, key long, digest binary")
 
 
 def repeated(rows: DataFrame, window: int, by_unit: bool = False, most: int = MOST) -> DataFrame:

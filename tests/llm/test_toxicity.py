@@ -18,7 +18,7 @@ def distance(a: str, b: str) -> int:
 def test_automata_match_what_edit_distance_allows():
     rng = random.Random(1)
     words, stems = ["idiot", "scum", "moron", "worthless"], ["chlla", "vequlos"]
-    lexicon = toxicity.Lexicon(words, stems)
+    lexicon = toxicity.Lexicon(dict.fromkeys(words, 1.0), dict.fromkeys(stems, 2.0))
     letters = "abcdehilmoqrstuvw1"
     tried = []
     for term in [*words, *stems]:
@@ -40,17 +40,18 @@ def test_automata_match_what_edit_distance_allows():
         allowed = [
             d for d, t, whole in best if d == 0 or (d == 1 and len(t) >= (toxicity.FUZZY if whole else toxicity.FUZZY + 2))
         ]
-        assert lexicon.match(w) == (min(allowed) if allowed else None), w
+        assert (lexicon.match(w) or (None,))[0] == (min(allowed) if allowed else None), w
 
 
 def test_terms_need_strong_evidence():
     counts = {"idiot ": (90, 0), "idio": (90, 1), "idiot": (90, 0), "the ": (100, 100), "rare ": (3, 0),
               "chlla": (60, 0), "chllab ": (30, 0), "chllac ": (30, 0)}
-    assert toxicity.choose_terms(counts, 100, 100) == (["idiot"], ["chlla"])
+    words, stems = toxicity.choose_terms(counts, 100, 100)
+    assert list(words) == ["idiot"] and list(stems) == ["chlla"] and words["idiot"] > stems["chlla"] > 4
 
 
 def test_quotes_and_reports_are_told_apart():
-    known = {"idiot": 0}
+    known = {"idiot": (0, 3.0)}
     text = 'You idiot. "An idiot" he wrote idiot\n“idiot” «x» you he you he idiot'
     n, hits = toxicity.hits_of(text, dict.fromkeys("you an he wrote x".split()) | known)
     assert [quoted for *_, quoted in hits] == [False, True, True, True, False]
