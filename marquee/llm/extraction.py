@@ -208,8 +208,9 @@ def boilerplate(pages: DataFrame, length: int = LENGTH, **most) -> DataFrame:
     """rid, gone: the numbers of the blocks of a page that are boilerplate."""
     stream = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n").cast("binary")
     texts_ = pages.select("rid", "unit", F.xxhash64("host").alias("scope"), stream.alias("text"))
-    ranges = repeated(texts_, length, by_unit=True, **most)
-    covered = pages.dropDuplicates(["rid"]).join(ranges, "rid")
+    # Written, so that Spark knows the size and need not shuffle all pages for a few.
+    ranges = stored(repeated(texts_, length, by_unit=True, **most), "ranges")
+    covered = pages.join(ranges, "rid").dropDuplicates(["rid"])
     covered = stored(_covered(covered, length).withColumn("block", F.unhex(F.md5("block"))), "covered")
     hosts = pages.select("host", "unit").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     common = (
@@ -234,7 +235,7 @@ def extract(
 ) -> DataFrame:
     """key, url, text, n_chars, n_boilerplate (blocks dropped as repeated)."""
     rows = stored(parsed(pages, key, url, html), "blocks")
-    joined = rows.join(boilerplate(rows, length, **most), "rid", "left")
+    joined = rows.join(stored(boilerplate(rows, length, **most), "boilerplate"), "rid", "left")
     numbered = F.transform("blocks", lambda b, i: F.struct(b["text"].alias("text"), b["inside"].alias("inside"), i.alias("i")))
     left = F.filter(numbered, lambda b: F.col("gone").isNull() | ~F.array_contains("gone", b["i"]))
     article = F.exists("blocks", lambda b: b["inside"])
