@@ -60,32 +60,33 @@ def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.count_edited(documents)
 
 
-def _day(name: str, digits: int) -> str:
-    """A number below 4096 from the MD5 of a name, in SQL of Spark."""
-    return f"cast(conv(substr(md5({name}), {digits}, 3), 16, 10) as bigint)"
+#: Entries of a pattern by kind: digits of its MD5 that give the first day, days to spread
+#: over, and action and days later of each.
+LOGS = {
+    "host": (1, 300, (("block", 0), ("remove", 100), ("block", 200))),
+    "domain": (4, 365, (("allow", 0), ("block", 90), ("remove", 250))),
+    "prefix": (7, 500, (("allow", 0), ("remove", 60))),
+}
 
 
 def url_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dated list made from the hosts of ``pages``: pattern, action, at (day)."""
-    hosts = _table(spark, sf_dir, "pages").select(
-        url_lists.host_of("url").alias("host"), url_lists.segments_of("url").alias("path")
-    ).where("host <> ''")
-    one = hosts.select("host").distinct()
-    domain = one.select(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("pattern")).where("pattern <> ''").distinct()
-    prefix = hosts.where("size(path) > 0").select(F.concat("host", F.lit("/"), F.col("path")[0]).alias("pattern")).distinct()
-    logs = []
-    for patterns, rows in (
-        (one.withColumnRenamed("host", "pattern"), [("block", 1, 300, 0), ("remove", 1, 300, 100), ("block", 1, 300, 200)]),
-        (domain, [("allow", 4, 365, 0), ("block", 4, 365, 90), ("remove", 4, 365, 250)]),
-        (prefix, [("allow", 7, 500, 0), ("remove", 7, 500, 60)]),
-    ):
-        for action, digits, days, after in rows:
-            at = F.expr(f"{_day('pattern', digits)} % {days} + {after}")
-            logs.append(patterns.select("pattern", F.lit(action).alias("action"), at.alias("at")))
-    entries = logs[0]
-    for log in logs[1:]:
-        entries = entries.unionByName(log)
-    return entries
+    pages = _table(spark, sf_dir, "pages").select(
+        url_lists.host_of("url").alias("host"), F.get(url_lists.segments_of("url"), F.lit(0)).alias("first")
+    )
+    domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
+    found = (("host", F.col("host")), ("domain", domain), ("prefix", F.concat_ws("/", "host", "first")))
+    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), pattern.alias("pattern")) for kind, pattern in found))
+    # Without a first segment the prefix would be the host itself.
+    patterns = pages.where("host <> ''").select("first", F.inline(kinds)).where(
+        "pattern <> '' AND (kind <> 'prefix' OR first IS NOT NULL)"
+    )
+    logs = F.lit(None)
+    for kind, (digits, days, rows) in LOGS.items():
+        day = F.expr(f"cast(conv(substr(md5(pattern), {digits}, 3), 16, 10) as bigint) % {days}")
+        log = F.array(*(F.struct(F.lit(action).alias("action"), (day + later).alias("at")) for action, later in rows))
+        logs = F.when(F.col("kind") == kind, log).otherwise(logs)
+    return patterns.select("kind", "pattern").distinct().select("pattern", F.inline(logs))
 
 
 def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.llm.components import stored
+
 ADDRESS = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)(?::[0-9]*)?([^?#]*)"
 BLOCK, ALLOW, REMOVE = "block", "allow", "remove"
 
@@ -67,7 +69,8 @@ def judge(
     period: int = 30,
 ) -> DataFrame:
     """key, url, at, verdict (an action or none), pattern that decides, n_active patterns."""
-    active = intervals(entries, period)
+    # Written, as it is used twice: the log is read once.
+    active = stored(intervals(entries, period), "intervals")
     known = captures.select(
         F.col(key).alias("key"), F.col(url).alias("url"), F.col(at).cast("long").alias("at"),
         host_of(url).alias("host"), segments_of(url).alias("path"),
