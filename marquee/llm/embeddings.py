@@ -1,9 +1,11 @@
 """Near-duplicate vectors by NN-descent, linked at a cosine threshold.
 
 Equal vectors are one node with a count. A first neighbour graph comes from random
-hyperplanes: nodes with equal signs in one of ``TABLES`` tables are compared. Then the graph
+hyperplanes: nodes with equal signs in one of the tables are compared. There are as many
+tables as a pair at the threshold needs to meet in one with the chance ``MET``, ``TABLES`` at
+least, and all pairs of nodes with equal signs are compared, however many. Then the graph
 is refined: the neighbours of a node, in either direction, are compared with each other,
-and each keeps its ``LIST`` best. Where a list is full of links it is saturated: it may hide
+and each keeps its ``LIST`` best, whatever their cosine. Where a list is full of links it is saturated: it may hide
 more of them, so it is allowed twice as many each round. Rounds end when hardly an entry
 changes.
 
@@ -34,10 +36,12 @@ from marquee.llm.arrow import record_batch, shipped
 from marquee.llm.components import components, stored
 
 THRESHOLD = 0.95
-#: Tables of hyperplanes, nodes expected with equal signs, and nodes compared at once.
+#: Least tables of hyperplanes, nodes expected with equal signs, and nodes compared at once.
 TABLES, EXPECTED, BLOCK = 16, 32, 512
-#: Neighbours listed, and the cosine a neighbour needs to be listed.
-LIST, NEIGHBOUR = 16, 0.8
+#: Chance that a pair at the threshold has equal signs in one of the tables.
+MET = 0.99
+#: Neighbours listed.
+LIST = 16
 ROUNDS = 4
 AUDIT, RECALL, ATTEMPTS = 256, 0.99, 4
 #: Nodes of a class in one block when links are counted.
@@ -95,7 +99,7 @@ _PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("cos", pa.float64())]
 
 
 def _compare(most: int):
-    """Of each block (node, vec) the pairs worth listing, at most ``most`` from a node."""
+    """Of each block (node, vec) the best pairs, at most ``most`` from a node."""
 
     def work(batches):
         held, size = [], 0
@@ -104,15 +108,15 @@ def _compare(most: int):
             name, first = np.unique(name, return_index=True)
             unit = _matrix(vec)[first]
             cos = unit @ unit.T
-            np.fill_diagonal(cos, -1.0)
+            np.fill_diagonal(cos, -2.0)
             if len(name) > most:
                 best = np.argpartition(-cos, most, axis=1)[:, :most]
                 u = np.repeat(np.arange(len(name)), most)
                 v = best.ravel()
-                near = cos[u, v] >= NEIGHBOUR
-                u, v = u[near], v[near]
+                other = u != v
+                u, v = u[other], v[other]
             else:
-                u, v = np.nonzero(cos >= NEIGHBOUR)
+                u, v = np.nonzero(cos > -2.0)
             held.append((name[u], name[v], cos[u, v]))
             size += len(u)
             if size > 100_000 or len(held) > 1000:
@@ -124,13 +128,24 @@ def _compare(most: int):
     return work
 
 
-def _blocks(rows: DataFrame, name: str, most: int) -> DataFrame:
-    """``rows`` dealt into blocks of nodes with one ``name``, those of many cut by a digest."""
+def _blocks(rows: DataFrame, name: str, most: int, whole: bool = False) -> DataFrame:
+    """``rows`` dealt into blocks of nodes with one ``name``, those of many cut by a digest.
+
+    ``whole``: two parts of a name are a block each, so that all its nodes meet.
+    """
     rows = stored(rows, "members")
     # Written, so that Spark can split the shuffle of a frequent name in the join.
     sizes = stored(rows.groupBy(name).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-    part = F.pmod(F.xxhash64("node", name), F.ceil(F.col("n") / most).cast("long"))
-    return rows.join(sizes, name).withColumn("block", F.xxhash64(name, part)).drop("n", name)
+    if not whole:
+        part = F.pmod(F.xxhash64("node", name), F.ceil(F.col("n") / most).cast("long"))
+        return rows.join(sizes, name).withColumn("block", F.xxhash64(name, part)).drop("n", name)
+    parts = F.when(F.col("n") <= most, F.lit(1)).otherwise(F.ceil(2 * F.col("n") / most)).cast("long")
+    rows = rows.join(sizes, name).withColumn("parts", parts)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node", name), F.col("parts")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    rows = rows.withColumn("other", other).where("part <> other OR parts = 1")
+    block = F.xxhash64(name, F.least("part", "other"), F.greatest("part", "other"))
+    return rows.withColumn("block", block).drop("n", name, "parts", "part", "other")
 
 
 def _solved(rows: DataFrame, most: int) -> DataFrame:
@@ -138,26 +153,33 @@ def _solved(rows: DataFrame, most: int) -> DataFrame:
     return spread.transform(shipped).mapInArrow(_compare(most), "u long, v long, cos double")
 
 
+def tables(bits: int) -> int:
+    """Tables in which a pair at the threshold has ``bits`` equal signs once, with chance ``MET``."""
+    equal = (1 - np.arccos(THRESHOLD) / np.pi) ** bits
+    return max(TABLES, int(np.ceil(np.log1p(-MET) / np.log1p(-equal))))
+
+
 def by_signs(nodes: DataFrame, count: int, attempt: int) -> DataFrame:
     """Pairs of nodes with equal signs in one of the tables."""
     bits = int(np.ceil(np.log2(max(count / EXPECTED, 1)))) + 1
+    turns = tables(bits)
 
     def work(batches):
         schema = pa.schema([("node", pa.int64()), ("sides", pa.list_(pa.int64()))])
         planes = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit = _matrix(batch.column("vec"))
-            if planes is None:
-                planes = np.random.default_rng([7, attempt]).normal(size=(unit.shape[1], TABLES * bits))
-            signs = (unit @ planes > 0).reshape(len(unit), TABLES, bits)
-            sides = signs @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(TABLES) << bits)
-            yield record_batch(schema, batch.column("node"), sides.tolist())
+            for start in range(0, batch.num_rows, 1024):
+                some = batch.slice(start, 1024)
+                unit = _matrix(some.column("vec"))
+                if planes is None:
+                    planes = np.random.default_rng([7, attempt]).normal(size=(unit.shape[1], turns * bits))
+                signs = (unit @ planes > 0).reshape(len(unit), turns, bits)
+                sides = signs @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(turns) << bits)
+                yield record_batch(schema, some.column("node"), sides.tolist())
 
     sides = nodes.select("node", "vec").transform(shipped).mapInArrow(work, "node long, sides array<long>")
     rows = sides.select("node", F.explode("sides").alias("side"))
-    return _solved(_blocks(rows, "side", BLOCK).join(nodes.select("node", "vec"), "node"), LIST)
+    return _solved(_blocks(rows, "side", BLOCK, whole=True).join(nodes.select("node", "vec"), "node"), LIST)
 
 
 def best(pairs: DataFrame, turn: int) -> DataFrame:

@@ -55,3 +55,19 @@ def test_odd_vectors_link_with_nothing(spark):
     assert got == [(0, 0, None), (1, 3, 1), (2, 3, 1), (2, 3, 1), *alone, (10, 3, 1)]
     assert embeddings.near_duplicates(df.limit(0)).collect() == []
     assert [r.n_links for r in embeddings.near_duplicates(df.where("vec_id = 3")).collect()] == [0]
+
+
+def test_first_lists_hold_far_neighbours_and_all_of_a_full_bucket(spark, monkeypatch):
+    agree = 1 - np.arccos(embeddings.THRESHOLD) / np.pi
+    assert all(1 - (1 - agree**bits) ** embeddings.tables(bits) >= 0.99 for bits in range(1, 40))
+    names = spark.range(100).selectExpr("id AS node", "id % 2 AS side")
+    blocks = {}
+    for r in embeddings._blocks(names, "side", 8, whole=True).collect():
+        blocks.setdefault(r.block, []).append(r.node)
+    met = {(a, b) for block in blocks.values() for a in block for b in block}
+    assert met == {(a, b) for a in range(100) for b in range(100) if a % 2 == b % 2}
+    vectors = np.random.default_rng(3).normal(size=(60, 24))  # no two within a cosine of 0.8
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    nodes = embeddings.nodes_of(df, "vec_id", "embedding")
+    lists = embeddings.best(embeddings.by_signs(nodes, 60, 0), 0).groupBy("u").count().collect()
+    assert len(lists) == 60 and all(r["count"] == embeddings.LIST for r in lists)
