@@ -9,7 +9,10 @@ and each keeps its ``LIST`` best, whatever their cosine. Where a list is full of
 more of them, so it is allowed twice as many each round. Rounds end when hardly an entry
 changes.
 
-Links connect nodes to classes (``components``). Every link of a node lies inside its class,
+Links connect nodes to classes (``components``). A list full of closer links may still have
+hidden the only link to another class, which takes a node with over ``LIST`` links at both
+ends. So classes of over ``LIST`` nodes are compared (``bridges``): a link between two of them
+is ruled out by the triangle inequality of angles, or its ends are compared in blocks. Every link of a node lies inside its class,
 so links are counted there, a block of a class against a block: no list limits the
 count, and no pair becomes a row. A class of any size is spread over many tasks.
 
@@ -43,6 +46,8 @@ MET = 0.99
 #: Neighbours listed.
 LIST = 16
 ROUNDS = 4
+#: Angle of a link, with room for rounding.
+ANGLE = float(np.arccos(THRESHOLD)) + 1e-6
 AUDIT, RECALL, ATTEMPTS = 256, 0.99, 4
 #: Nodes of a class in one block when links are counted.
 COUNTED = 1024
@@ -234,6 +239,88 @@ def audit(nodes: DataFrame, classes: DataFrame, most: int = AUDIT) -> float:
     return inside / links if links else 1.0
 
 
+def _against(rows: DataFrame, name: str) -> DataFrame:
+    """The rows with the angle between ``vec`` and ``centre`` in their place."""
+
+    def work(batches):
+        schema = None
+        for batch in batches:
+            if batch.num_rows:
+                angle = np.arccos(np.clip((_matrix(batch.column("vec")) * _matrix(batch.column("centre"))).sum(1), -1, 1))
+                kept = batch.drop_columns(["vec", "centre"])
+                schema = schema or pa.schema([*kept.schema, (name, pa.float64())])
+                yield record_batch(schema, *kept.columns, angle)
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("vec", "centre"))
+    return rows.transform(shipped).mapInArrow(work, f"{fields}, {name} double")
+
+
+def _crossed(rows: DataFrame, name: list[str]) -> DataFrame:
+    """block, second, node, vec, reach: of each ``name``, any part of one side with any of the other."""
+    rows = stored(rows, "sides")
+    sizes = rows.groupBy(*name).pivot("second", [False, True]).agg(F.ceil(F.count(F.lit(1)) / COUNTED).cast("long"))
+    sizes = stored(sizes.select(*name, F.col("false").alias("ones"), F.col("true").alias("others")).dropna(), "sizes")
+    rows = rows.join(sizes, name).withColumn("part", F.pmod(F.xxhash64("node"), F.expr("if(second, others, ones)")))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, if(second, ones, others) - 1)")))
+    block = F.xxhash64(*name, F.expr("if(second, other, part)"), F.expr("if(second, part, other)"))
+    return rows.select(block.alias("block"), "second", "node", "vec", "reach")
+
+
+_ENDS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _touching(batches):
+    """Of each block of centres the pairs whose classes may hold a link."""
+    for second, node, vec, reach in groups(batches, "block", "second", "node", "vec", "reach"):
+        second, node, unit = second.to_numpy(zero_copy_only=False), node.to_numpy(), _matrix(vec)
+        reach = reach.to_numpy()
+        angle = np.arccos(np.clip(unit[~second] @ unit[second].T, -1, 1))
+        near = angle <= reach[~second][:, None] + reach[second] + ANGLE
+        a, b = np.nonzero(near & (node[~second][:, None] < node[second]))
+        yield record_batch(_ENDS, node[~second][a], node[second][b])
+
+
+def _joining(batches):
+    """Of each block a link of one side with the other, if there is one."""
+    for second, node, vec in groups(batches, "block", "second", "node", "vec"):
+        second, node, unit = second.to_numpy(zero_copy_only=False), node.to_numpy(), _matrix(vec)
+        if second.all() or not second.any():
+            continue
+        cos = unit[~second] @ unit[second].T
+        a, b = np.unravel_index(cos.argmax(), cos.shape)
+        if cos[a, b] >= THRESHOLD:
+            yield record_batch(_ENDS, node[~second][[a]], node[second][[b]])
+
+
+def _solve_sides(dealt: DataFrame, work) -> DataFrame:
+    spread = dealt.repartition("block").sortWithinPartitions("block")
+    return spread.transform(shipped).mapInArrow(work, "a long, b long")
+
+
+def bridges(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: links between classes of over ``LIST`` nodes, one at least for all that hold any."""
+    large = classes.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIST)
+    members = classes.join(large.drop("n"), "component").join(nodes.select("node", "vec"), "node")
+    members = stored(members.select("component", "node", "vec"), "large")
+    # A class is named by one of its nodes, which serves as its centre.
+    centres = members.where("node = component").select("component", F.col("vec").alias("centre"))
+    spread = _against(members.join(centres, "component").select("component", "vec", "centre"), "angle")
+    radius = spread.groupBy("component").agg(F.max("angle").alias("reach"))
+    balls = stored(centres.join(radius, "component"), "balls")
+    both = F.explode(F.array(F.lit(False), F.lit(True))).alias("second")
+    points = balls.select(F.lit(0).alias("all"), F.col("component").alias("node"), F.col("centre").alias("vec"), "reach", both)
+    pairs = stored(_solve_sides(_crossed(points, ["all"]), _touching), "touching")
+    # Of each class only what lies in reach of the other.
+    sides = pairs.select("a", "b", F.explode(F.expr("array(false, true)")).alias("second"))
+    sides = sides.withColumn("component", F.expr("if(second, b, a)")).withColumn("facing", F.expr("if(second, a, b)"))
+    facing = balls.select(F.col("component").alias("facing"), "centre", "reach")
+    met = sides.join(facing, "facing").join(members, "component")
+    kept = _against(met.select("a", "b", "second", "node", F.col("vec"), F.col("centre"), "reach"), "angle")
+    kept = kept.where(F.col("angle") <= F.col("reach") + ANGLE).select("a", "b", "second", "node")
+    kept = kept.join(nodes.select("node", "vec"), "node").withColumn("reach", F.lit(0.0))
+    return stored(_solve_sides(_crossed(kept, ["a", "b"]), _joining), "bridges")
+
+
 def count_links(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     """node, links: copies of other nodes linked with a node of a class."""
     members = nodes.join(classes, "node")
@@ -278,6 +365,9 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         lists = descend(stored(best(lists.unionByName(found), 0), "lists"), nodes)
         links = lists.where(F.col("cos") >= THRESHOLD).select(F.col("u").alias("a"), F.col("v").alias("b"))
         classes = stored(components(links), "classes")
+        joined = bridges(nodes, classes)
+        if not joined.isEmpty():
+            classes = stored(components(links.unionByName(joined)), "classes")
         recall, attempt = audit(nodes, classes), attempt + 1
     counted = nodes.drop("vec").join(classes, "node", "left").join(count_links(nodes, classes), "node", "left")
     counted = counted.select(

@@ -71,3 +71,16 @@ def test_first_lists_hold_far_neighbours_and_all_of_a_full_bucket(spark, monkeyp
     nodes = embeddings.nodes_of(df, "vec_id", "embedding")
     lists = embeddings.best(embeddings.by_signs(nodes, 60, 0), 0).groupBy("u").count().collect()
     assert len(lists) == 60 and all(r["count"] == embeddings.LIST for r in lists)
+
+
+def test_subgroups_that_fill_all_lists_are_one_class(spark):
+    rng = np.random.default_rng(5)
+    first, second = np.linalg.qr(rng.normal(size=(24, 2)))[0].T
+    turned = 0.96 * first + np.sqrt(1 - 0.96**2) * second
+    rows = [centre + rng.normal(size=(300, 24)) * 0.002 for centre in (first, turned)]
+    vectors = np.concatenate(rows)  # all linked, across at a cosine of 0.96
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    links, component = expected(vectors)
+    assert set(component) == {0} and set(links) == {599}
+    got = embeddings.near_duplicates(df).collect()
+    assert {r.component for r in got} == {0} and {r.n_links for r in got} == {599}
