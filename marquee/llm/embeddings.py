@@ -16,9 +16,11 @@ is ruled out by the triangle inequality of angles, or its ends are compared in b
 so links are counted there, a block of a class against a block: no list limits the
 count, and no pair becomes a row. A class of any size is spread over many tasks.
 
-The classes are audited: ``AUDIT`` nodes, those of the least digests, are compared with all
-nodes, and while under ``RECALL`` of their links lie inside their class, further tables and
-rounds follow.
+The classes are audited: of the nodes in large classes (over ``LIST`` nodes), in small ones and
+in none each, ``AUDIT`` or the square root of all if that is more, those of the least digests,
+are compared with all nodes. Recall is the mean, over nodes that have links, of the share of
+them inside the node's class; the lesser of that in large classes and that of the other nodes
+counts. While it is under ``RECALL``, further tables and rounds follow, without a last one.
 
 Vectors that are null, zero, of another length than the first in order of the key, or hold
 null or non-finite components link with nothing, nor do rows with a null key; such rows are
@@ -48,7 +50,7 @@ LIST = 16
 ROUNDS = 4
 #: Angle of a link, with room for rounding.
 ANGLE = float(np.arccos(THRESHOLD)) + 1e-6
-AUDIT, RECALL, ATTEMPTS = 256, 0.99, 4
+AUDIT, RECALL = 256, 0.99
 #: Nodes of a class in one block when links are counted.
 COUNTED = 1024
 
@@ -214,10 +216,20 @@ def descend(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     return lists
 
 
-def audit(nodes: DataFrame, classes: DataFrame, most: int = AUDIT) -> float:
-    """Share of the links of at most ``most`` nodes, found by brute force, inside their classes."""
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(most).join(classes, "node", "left")
-    asked = sample.select("node", "vec", F.coalesce("component", "node").alias("component")).collect()
+def audit(nodes: DataFrame, classes: DataFrame, most: int = AUDIT, attempt: int = 0) -> float:
+    """Mean share of a linked node's links inside its class, by brute force for a sample.
+
+    The lesser of the mean in large classes and that of all other nodes; 1 without links.
+    """
+    sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.when(F.col("n").isNull(), 0).when(F.col("n") <= LIST, 1).otherwise(2)
+    rows = nodes.select("node", "vec").join(classes, "node", "left").join(sizes, "component", "left")
+    rows = stored(rows.select("node", "vec", F.coalesce("component", "node").alias("component"), kind.alias("kind")), "audited")
+    counts = {r.kind: r["count"] for r in rows.groupBy("kind").count().collect()}
+    most = max(most, int(sum(counts.values()) ** 0.5))
+    asked = []
+    for k in counts:
+        asked += rows.where(F.col("kind") == k).orderBy(F.xxhash64("node", F.lit(attempt)), "node").limit(most).collect()
     if not asked:
         return 1.0
     unit = np.array([row.vec for row in asked])
@@ -226,17 +238,31 @@ def audit(nodes: DataFrame, classes: DataFrame, most: int = AUDIT) -> float:
     group = np.array([row.component for row in asked])
 
     def work(batches):
-        schema = pa.schema([("links", pa.int64()), ("inside", pa.int64())])
+        schema = pa.schema([("i", pa.int64()), ("links", pa.int64()), ("inside", pa.int64())])
+        links, inside = np.zeros(len(name), np.int64), np.zeros(len(name), np.int64)
         for batch in batches:
-            if batch.num_rows:
-                node = batch.column("node").to_numpy()
-                linked = (_matrix(batch.column("vec")) @ unit.T >= THRESHOLD) & (node[:, None] != name)
-                inside = linked & (batch.column("component").to_numpy()[:, None] == group)
-                yield record_batch(schema, [int(linked.sum())], [int(inside.sum())])
-
-    rows = nodes.join(classes, "node", "left").select("node", "vec", F.coalesce("component", "node").alias("component"))
-    links, inside = rows.transform(shipped).mapInArrow(work, "links long, inside long").agg(F.sum("links"), F.sum("inside")).first()
-    return inside / links if links else 1.0
+            for start in range(0, batch.num_rows, 1024):
+                some = batch.slice(start, 1024)
+                node, component = some.column("node").to_numpy()[:, None], some.column("component").to_numpy()[:, None]
+                vec = _matrix(some.column("vec"))
+                for i in range(0, len(name), 8192):
+                    part = slice(i, i + 8192)
+                    # Room for rounding: links at the threshold itself are no test.
+                    linked = (vec @ unit[part].T >= THRESHOLD + 1e-9) & (node != name[part])
+                    links[part] += linked.sum(0)
+                    inside[part] += (linked & (component == group[part])).sum(0)
+        some = np.flatnonzero(links)
+        yield record_batch(schema, some, links[some], inside[some])
+
+    found = rows.select("node", "vec", "component").transform(shipped).mapInArrow(work, "i long, links long, inside long")
+    sums = {0: [0.0, 0.0], 2: [0.0, 0.0]}  # by side: large classes, and the others
+    taken = {k: min(most, n) for k, n in counts.items()}
+    for r in found.groupBy("i").agg(F.sum("links").alias("links"), F.sum("inside").alias("inside")).collect():
+        k = asked[r.i].kind
+        weight, side = counts[k] / taken[k], sums[2 if k == 2 else 0]
+        side[0] += weight * r.inside / r.links
+        side[1] += weight
+    return min((share / linked for share, linked in sums.values() if linked), default=1.0)
 
 
 def _against(rows: DataFrame, name: str) -> DataFrame:
@@ -360,7 +386,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     count = nodes.count()
     lists = nodes.select(F.col("node").alias("u"), F.col("node").alias("v"), F.lit(1.0).alias("cos")).limit(0)
     recall, attempt = 0.0, 0
-    while recall < RECALL and attempt < ATTEMPTS:
+    while recall < RECALL:
         found = by_signs(nodes, count, attempt)
         lists = descend(stored(best(lists.unionByName(found), 0), "lists"), nodes)
         links = lists.where(F.col("cos") >= THRESHOLD).select(F.col("u").alias("a"), F.col("v").alias("b"))
@@ -368,7 +394,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         joined = bridges(nodes, classes)
         if not joined.isEmpty():
             classes = stored(components(links.unionByName(joined)), "classes")
-        recall, attempt = audit(nodes, classes), attempt + 1
+        recall, attempt = audit(nodes, classes, attempt=attempt), attempt + 1
     counted = nodes.drop("vec").join(classes, "node", "left").join(count_links(nodes, classes), "node", "left")
     counted = counted.select(
         "node",

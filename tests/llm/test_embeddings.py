@@ -84,3 +84,18 @@ def test_subgroups_that_fill_all_lists_are_one_class(spark):
     assert set(component) == {0} and set(links) == {599}
     got = embeddings.near_duplicates(df).collect()
     assert {r.component for r in got} == {0} and {r.n_links for r in got} == {599}
+
+
+def test_audit_sees_small_groups_beside_a_large_one(spark):
+    rng = np.random.default_rng(6)
+    large = rng.normal(size=24) + rng.normal(size=(300, 24)) * 0.01
+    pairs = np.repeat(rng.normal(size=(20, 24)), 2, axis=0) + rng.normal(size=(40, 24)) * 0.01
+    vectors = np.concatenate([large, pairs])
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    nodes = spark.createDataFrame(rows, "node long, vec array<double>")
+    one = [(i, 0) for i in range(300)]
+    two = [(i, i - i % 2) for i in range(300, 340)]
+    classes = lambda rows: spark.createDataFrame(rows, "node long, component long")
+    assert embeddings.audit(nodes, classes(one)) == 0
+    assert embeddings.audit(nodes, classes(one + two[:20])) == pytest.approx(0.5)
+    assert embeddings.audit(nodes, classes(one + two)) == 1
