@@ -2,7 +2,8 @@
 
 A page becomes blocks of text in page order. Elements that never hold the article (menus,
 footers, sidebars, notices, adverts, forms, scripts, comments of readers, hidden ones) give
-none. The blocks of a page, a line each, are its stream. Over the streams of a host, suffix
+none. Inside an article only whole class names of containers tell them; ids, headings, inline
+elements, labels and buttons are text there. The blocks of a page, a line each, are its stream. Over the streams of a host, suffix
 arrays find the strings of ``LENGTH`` bytes that repeat on distinct pages (``windows``, by
 host). A block is boilerplate if such strings cover ``COVERED`` of it and it lies outside an
 article, or stands on ``SHARE`` of the host's pages and at least ``PAGES`` of them. The rest, the
@@ -43,6 +44,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([a-z:-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _DROPPED = frozenset("nav footer aside form button select option dialog menu head audio video label".split())
+_DROPPED_INSIDE = _DROPPED - {"button", "label"}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small "
@@ -57,18 +59,30 @@ _NAMES = frozenset(
     "comment comments commentlist replies disqus popup modal overlay widget pagination pager".split()
 )
 _NAMES_OUTSIDE = _NAMES | {"header", "topbar", "author", "byline", "toolbar"}
+#: What class names of containers add to these names.
+_CARRIERS = frozenset("area bar block box button buttons container icons item items link links list section slot unit wrapper".split())
+_CONTAINERS = frozenset("article center details div dl fieldset figure ol section table ul".split())
 _BLOCK = pa.struct([("text", pa.large_string()), ("inside", pa.bool_())])
 
 
+def _named(value: str) -> bool:
+    """Whether a whole class name says what never belongs to an article."""
+    words = re.split(r"[-_]+", value)
+    return not _NAMES.isdisjoint(words) and (_NAMES | _CARRIERS).issuperset(words)
+
+
 def _dropped(name: str, rest: str, inside: bool) -> bool:
-    if name in _DROPPED or (name == "header" and not inside):
+    if name in (_DROPPED_INSIDE if inside else _DROPPED) or (name == "header" and not inside):
         return True
     if not rest.strip(" /\n\t"):
         return False
     for key, value in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id") and name not in ("html", "body", "article", "main"):
-            if not (_NAMES if inside else _NAMES_OUTSIDE).isdisjoint(re.split(r"[^a-z]+", value)):
+        if inside and key in ("class", "id"):
+            if key == "class" and name in _CONTAINERS and any(map(_named, value.split())):
+                return True
+        elif key in ("class", "id") and name not in ("html", "body", "article", "main"):
+            if not _NAMES_OUTSIDE.isdisjoint(re.split(r"[^a-z]+", value)):
                 return True
         elif key == "role" and value in _ROLES:
             return True

@@ -49,3 +49,13 @@ def test_all_of_an_article_is_kept(spark):
         inner = r.html.partition("<article>")[2].partition("</article>")[0]
         blocks = [b for b, _ in extraction.blocks_of(f"<article>{inner}</article>")]
         assert got[r.page_id] == "\n\n".join(blocks)
+
+
+def test_names_inside_an_article_drop_whole_containers_only():
+    html = """<article><h2 id="related-work">Related work</h2><section id="social-security"><p>Pensions</p></section>
+<p id="notice-1">Notice one</p><p>code <span class="hljs-comment"># why</span> ends</p><div class="social-security">Law</div>
+<label for="a">Label</label><button>Press</button><div class="ad">Buy</div><ul class="x share-links"><li>tweet</ul>
+<div class="comments"><p>first!</p></div><p>last</p></article>"""
+    assert [text for text, _ in extraction.blocks_of(html)] == [
+        "Related work", "Pensions", "Notice one", "code # why ends", "Law", "Label", "Press", "last",
+    ]
