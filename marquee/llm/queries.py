@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import (
+    credentials,
     edit_counts,
     embeddings,
     extraction,
@@ -145,6 +146,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are the owners; a source's documents of one language count as a repository."""
+    documents = _table(spark, sf_dir, "documents").withColumn("repository", F.concat_ws("/", "source", "lang"))
+    return credentials.digests(credentials.scan(documents, repository="repository"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -166,6 +173,7 @@ def queries() -> dict[str, Query]:
             op8_simhash,
             op9_nn_descent,
             op10_mixing,
+            op13_secrets,
             pipeline,
         )
     }

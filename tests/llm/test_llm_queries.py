@@ -23,7 +23,7 @@ def test_the_whole_pipeline_and_its_registration(spark):
 
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
     names = set(queries.queries())
-    assert {name.split("_")[0] for name in names} == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
+    assert {name.split("_")[0] for name in names} == {*(f"op{n}" for n in range(1, 14)), "pipeline"}
     rows = queries.queries()["pipeline"](spark, SF)
     assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert 0 < rows.count() < 2 * spark.read.parquet(f"{SF}/documents.parquet").count()
