@@ -15,6 +15,7 @@ from marquee.llm import (
     edit_counts,
     embeddings,
     extraction,
+    lexical,
     mixing,
     quality,
     sentencepieces,
@@ -146,6 +147,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources are the owners; a source's documents of one language count as a repository."""
     documents = _table(spark, sf_dir, "documents").withColumn("repository", F.concat_ws("/", "source", "lang"))
@@ -173,6 +178,7 @@ def queries() -> dict[str, Query]:
             op8_simhash,
             op9_nn_descent,
             op10_mixing,
+            op12_lexical_search,
             op13_secrets,
             pipeline,
         )
@@ -214,6 +220,10 @@ met AS (
             ELSE c.host = v.pattern OR ends_with(c.host, '.' || v.pattern) END)"""
 
 
+TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL, for the operators that SQL can express."""
     return {
@@ -225,6 +235,21 @@ found AS (
 SELECT c.page_id, c.url, c.fetched, coalesce(verdict, 'none') AS verdict, f.pattern,
        coalesce(n_active, 0) AS n_active
 FROM captures c LEFT JOIN found f ON c.page_id = f.page_id AND c.url = f.url""",
+        "op12_lexical_search": f"""WITH worded AS (SELECT doc_id, {TERMS} AS words FROM documents),
+totals AS (SELECT count(*) AS docs, CAST(sum(len(words)) AS BIGINT) AS terms FROM worded WHERE len(words) > 0),
+counted AS (
+  SELECT doc_id, term, n, count(*) AS tf
+  FROM (SELECT doc_id, unnest(words) AS term, len(words) AS n FROM worded) GROUP BY ALL),
+weighted AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM counted, totals GROUP BY term, docs),
+asked AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id,
+         CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN counted USING (term) JOIN weighted USING (term), totals GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= {lexical.TOP}""",
         "op10_mixing": r"""WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
          md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place
