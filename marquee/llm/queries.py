@@ -23,6 +23,7 @@ from marquee.llm import (
     suffix_dedup,
     toxicity,
     url_lists,
+    whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,6 +148,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deviations that exceed a long are null here; the operator has them as decimals."""
+    rows = whitening.components(_table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -178,6 +185,7 @@ def queries() -> dict[str, Query]:
             op8_simhash,
             op9_nn_descent,
             op10_mixing,
+            op11_whitening,
             op12_lexical_search,
             op13_secrets,
             pipeline,
