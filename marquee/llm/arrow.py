@@ -36,6 +36,14 @@ def shipped(df: DataFrame) -> DataFrame:
     return df
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {column.lower() for column in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pieces(
     batches: Iterable[pa.RecordBatch], column: str, limit: int = PIECE_BYTES
 ) -> Iterator[pa.RecordBatch]:

@@ -13,8 +13,8 @@ what is over goes to the others by weight, until none is above.
 
 No step needs a source in one task: running sums and ranks are taken within buckets and
 shifted by the sums of the buckets before. Only the table of sources, one row each, is
-ordered in one task. Every row is mixed, repeated ones separately; null texts and keys
-count as empty. Only DataFrame functions are used, and equal input gives equal output.
+ordered in one task. Every row is mixed, repeated ones separately; null texts count as
+empty, a null key is replaced by the text in the digest. Only DataFrame functions are used, and equal input gives equal output.
 """
 
 from __future__ import annotations
@@ -35,13 +35,22 @@ CHUNK = 4096
 CELLS = 1024
 
 
+def place(key: str, text: str) -> Column:
+    """A digest of the key, or of the text where that is null."""
+    return F.md5(F.coalesce(F.col(key).cast("string"), F.concat(F.lit("-"), F.col(text)), F.lit("")))
+
+
+def words(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sized(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """key, source, size in words and the place in the shuffled order, written and read again."""
     rows = documents.select(
         F.col(key).alias("key"),
         F.col(source).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("place"),
+        words(text).alias("size"),
+        place(key, text).alias("place"),
     )
     path = scratch_path(documents.sparkSession, "sizes")
     rows.write.parquet(path)
@@ -154,13 +163,28 @@ def mix(
     block: int = BLOCK,
 ) -> DataFrame:
     """key, size, source_size, target, taken: how many words the mix takes of each document."""
+    rows = taken(documents, key, text, source, weights, share, most, block)
+    return rows.select(F.col("key").alias(key), "size", "source_size", "target", "taken")
+
+
+def taken(
+    documents: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: float = 1.5,
+    most: float = 2.0,
+    block: int = BLOCK,
+) -> DataFrame:
+    """As ``mix``, with place and source as well: key, place, source, size, source_size, target, taken."""
     sizes = sized(documents, key, text, source)
     sources = targets(sizes, weights, share, most)
     path = scratch_path(documents.sparkSession, "targets")
     sources.coalesce(1).write.parquet(path)
     sources = documents.sparkSession.read.schema(sources.schema).parquet(path)
     rows = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).select(
-        "key", "size", "place", "number", "source_size", "target", F.substring("place", 1, DIGITS).alias("bucket")
+        "key", "size", "place", "number", sources["source"], "source_size", "target", F.substring("place", 1, DIGITS).alias("bucket")
     )
     buckets = (
         rows.groupBy("number", "bucket")
@@ -182,13 +206,13 @@ def mix(
         F.col("start").isNotNull(),
         F.greatest(F.lit(0), F.least("to", "end") - F.greatest("from", "start")),
     ).otherwise(0)
-    taken = parts.join(schedule(sources, block).drop("slot", "pass"), ["number", "block"], "left")
+    scheduled = parts.join(schedule(sources, block).drop("slot", "pass"), ["number", "block"], "left")
     return (
-        taken.groupBy("number", "from", "key", "size", "source_size", "target", "place", "inside")
+        scheduled.groupBy("number", "source", "from", "key", "size", "source_size", "target", "place", "inside")
         .agg(F.sum(overlap).alias("taken"), F.count(F.lit(1)).alias("parts"))
         .withColumn("copies", F.when(F.col("size") == 0, F.col("parts")).otherwise(F.lit(1)))
         .withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(F.col("key").alias(key), "size", "source_size", "target", "taken")
+        .select("key", "place", "source", "size", "source_size", "target", "taken")
     )
 
 
@@ -197,19 +221,20 @@ def mixed(
 ) -> DataFrame:
     """The rows as often as the mix takes them: the nearest number of whole times, halves up.
 
-    Rows of equal key and size take equal parts of what the mix takes of them; rows without a
-    word are never taken.
+    Rows of one source, equal in size and in key, or in text where the key is null, take equal
+    parts of what the mix takes of them; rows without a word are never taken.
     """
-    taken = mix(documents, key, text, source, **options)
-    times = taken.groupBy(key, "size").agg(
+    rows = taken(documents, key, text, source, **options)
+    times = rows.groupBy("place", "size", "source").agg(
         F.try_divide(F.sum("taken"), F.col("size") * F.count(F.lit(1))).alias("share")
     )
-    times = times.select(
-        F.col(key).alias("__key"), F.col("size").alias("__size"), F.floor(F.col("share") + 0.5).cast("int").alias("__times")
-    ).where("__times > 0")
-    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    joined = documents.withColumn("__words", size).join(
-        times, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__words") == F.col("__size"))
+    times = times.withColumn("times", F.floor(F.col("share") + 0.5).cast("int")).where("times > 0")
+    placed = documents.select(
+        F.struct("*").alias("row"),
+        place(key, text).alias("place"),
+        words(text).alias("size"),
+        F.col(source).cast("string").alias("source"),
     )
-    again = F.explode(F.array_repeat(F.lit(0), F.col("__times")))
-    return joined.select(*documents.columns, again.alias("__again")).drop("__again")
+    same = [placed[name].eqNullSafe(times[name]) for name in ("place", "size", "source")]
+    again = placed.join(times, same).select("row", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
+    return again.select("row.*")

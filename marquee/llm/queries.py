@@ -260,7 +260,7 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 FROM scored WHERE score > 0 QUALIFY rank <= {lexical.TOP}""",
         "op10_mixing": r"""WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+         md5(coalesce(CAST(doc_id AS VARCHAR), '-' || text, '')) AS place
   FROM documents),
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

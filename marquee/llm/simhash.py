@@ -284,6 +284,6 @@ def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", w
     )
     classes = near_duplicates(documents.select(name.alias("name"), text), "name", text, words)
     kept = classes.select(F.col("component").alias("kept")).distinct()
-    rows = documents.withColumn("__name", name)
-    same = (rows["__name.digest"] == kept["kept.digest"]) & rows["__name.key"].eqNullSafe(kept["kept.key"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["__name"]).drop("__name")
+    rows = documents.select(F.struct("*").alias("row"), name.alias("name"))
+    same = (rows["name.digest"] == kept["kept.digest"]) & rows["name.key"].eqNullSafe(kept["kept.key"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["name"]).select("row.*")

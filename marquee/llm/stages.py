@@ -26,9 +26,14 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.one_of_each(docs)
 
 
+#: A passage of over 50 words repeats: strings of so many bytes are looked for, as nearly all
+#: such passages have more, and runs of so many words are removed.
+REPEATED_BYTES, REPEATED_WORDS = 240, 50
+
+
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the long strings that repeat; documents left empty go."""
-    kept = suffix_dedup.rewrite(docs)
+    """All documents without the long passages that repeat; documents left empty go."""
+    kept = suffix_dedup.rewrite(docs, REPEATED_BYTES, words=REPEATED_WORDS)
     return kept.where(F.length("text") > 0).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

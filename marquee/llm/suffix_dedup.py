@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.arrow import pieces, raw, record_batch, shipped
+from marquee.llm.arrow import pieces, raw, record_batch, shipped, unused
 from marquee.llm.windows import RANGES, repeated
 
 LENGTH = 400
@@ -41,12 +41,17 @@ def removed(ranges: list[dict], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def whole_words(text: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """The spans that hold ``words`` words or more, cut ones included."""
+    return [(a, b) for a, b in spans if not words or len(text[a:b].split(None, words)) >= words]
+
+
 def _with_ranges(documents: DataFrame, length: int, key: str, text: str, most: dict) -> DataFrame:
+    """row (all columns) and ranges."""
     texts = documents.select(row_id(key, text).alias("rid"), F.col(text).cast("binary").alias("text"))
     found = repeated(texts.select("rid", F.lit(0).cast("long").alias("unit"), F.lit(0).cast("long").alias("scope"), "text"), length, **most)
-    return documents.withColumn("__rid", row_id(key, text)).join(
-        found.select(F.col("rid").alias("__rid"), F.col("ranges").alias("__ranges")), "__rid", "left"
-    )
+    rows = documents.select(F.struct("*").alias("row"), row_id(key, text).alias("rid"))
+    return rows.join(found.select("rid", "ranges"), "rid", "left").select("row", "ranges")
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -64,7 +69,7 @@ def dedup(documents: DataFrame, length: int = LENGTH, key: str = "doc_id", text:
 
     def work(batches):
         for batch in pieces(batches, text):
-            spans = [removed(r or [], length) for r in batch.column("__ranges").to_pylist()]
+            spans = [removed(r or [], length) for r in batch.column(2).to_pylist()]
             whole = raw(batch, text)
             schema = pa.schema([batch.schema.field(key), ("n_bytes", pa.int64()), ("spans", _SPANS), ("kept", pa.large_binary())])
             yield record_batch(
@@ -76,11 +81,16 @@ def dedup(documents: DataFrame, length: int = LENGTH, key: str = "doc_id", text:
             )
 
     spans = "array<struct<start:long,end:long>>"
-    return rows.select(key, text, "__ranges").transform(shipped).mapInArrow(work, f"`{key}` {kind}, n_bytes long, spans {spans}, kept binary")
+    return rows.select(f"row.{key}", f"row.{text}", "ranges").transform(shipped).mapInArrow(work, f"`{key}` {kind}, n_bytes long, spans {spans}, kept binary")
+
 
+def rewrite(
+    documents: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", words: int = 0, **most
+) -> DataFrame:
+    """The rows with their remaining text; characters cut in two are dropped, null stays null.
 
-def rewrite(documents: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", **most) -> DataFrame:
-    """The rows with their remaining text; characters cut in two are dropped, null stays null."""
+    Runs of fewer than ``words`` words stay.
+    """
     columns = documents.columns
     rows = _with_ranges(documents, length, key, text, most)
 
@@ -88,13 +98,13 @@ def rewrite(documents: DataFrame, length: int = LENGTH, key: str = "doc_id", tex
         for batch in pieces(batches, text):
             at = batch.schema.get_field_index(text)
             kept = [
-                value if not ranges else cut(value, removed(ranges, length)).decode("utf-8", "ignore").encode()
-                for value, ranges in zip(batch.column(text).cast(pa.large_binary()).to_pylist(), batch.column("__ranges").to_pylist())
+                value if not ranges else cut(value, whole_words(value, removed(ranges, length), words)).decode("utf-8", "ignore").encode()
+                for value, ranges in zip(batch.column(at).cast(pa.large_binary()).to_pylist(), batch.column(len(columns)).to_pylist())
             ]
             kept = pa.array(kept, pa.large_binary()).cast(pa.large_string()).cast(batch.schema.field(text).type)
             yield batch.set_column(at, text, kept).select(columns)
 
-    return rows.select(*columns, "__ranges").transform(shipped).mapInArrow(work, documents.schema)
+    return rows.select("row.*", F.col("ranges").alias(unused(columns, "ranges"))).transform(shipped).mapInArrow(work, documents.schema)
 
 
-__all__ = ["RANGES", "cut", "dedup", "removed", "rewrite", "row_id"]
+__all__ = ["RANGES", "cut", "dedup", "removed", "rewrite", "row_id", "whole_words"]

@@ -12,7 +12,7 @@ import test_quality
 import test_simhash
 import test_suffix_dedup
 
-from marquee.llm import edit_counts, extraction, queries, sentencepieces, suffix_dedup
+from marquee.llm import edit_counts, extraction, queries, sentencepieces, stages, suffix_dedup
 
 SF = "/root/testdata/sf0.01"
 
@@ -138,7 +138,7 @@ def test_pipeline_stages(spark):
     assert set(texts(single)) == {ids[g] for g in groups}
 
     ids = sorted(texts(single))
-    kept = test_suffix_dedup.brute_force([texts(single)[i].encode() for i in ids], suffix_dedup.LENGTH)
+    kept = test_suffix_dedup.brute_force([texts(single)[i].encode() for i in ids], stages.REPEATED_BYTES, stages.REPEATED_WORDS)
     assert texts(cut) == {i: t for i, k in zip(ids, kept) if (t := k.decode("utf-8", "ignore"))}
     assert all(r.n_chars == len(r.text) for r in cut.collect())
 

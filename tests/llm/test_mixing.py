@@ -48,3 +48,31 @@ def test_mixed_rows_and_empty_table(spark):
     times = Counter(r.doc_id for r in rows.collect())
     assert all(times[i] == int(t / s + 0.5) for i, (s, t) in sizes.items() if s and i != 7)
     assert mixing.mix(docs.limit(0)).collect() == [] and mixing.mixed(docs.limit(0)).collect() == []
+
+
+def test_null_ids_keep_to_their_source(spark):
+    """A row without an id is taken by what its own source gives, even where sizes are equal."""
+    rows = [(None, "a b c d", "x"), (None, "e f g h", "y")] + [(i, "w " * 9, "y") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = Counter(r.text for r in mixing.mixed(docs).collect() if r.doc_id is None)
+    due = {r.source: r.taken for r in mixing.taken(docs).collect() if r.key is None}
+    assert due["x"] == 8 and due["y"] in (4, 8)  # x is small: twice its size
+    assert kept == {"a b c d": 2, "e f g h": due["y"] // 4}
+
+
+def test_rows_without_an_id_are_dealt_over_buckets(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", "s") for i in range(300)], "doc_id long, text string, source string")
+    assert mixing.sized(docs).select("place").distinct().count() == 300
+    rows = mixing.taken(docs).collect()
+    assert len(rows) == 300 and sum(r.taken for r in rows) == 900
+
+
+def test_columns_of_any_name_come_back(spark):
+    names = ("__words", "__times", "__key", "__size", "__again", "row", "place", "size", "times", "share", "number", "target", "taken")
+    docs = spark.createDataFrame([(i, "a b c", "s") for i in range(4)], "doc_id long, text string, source string")
+    for name in names:
+        docs = docs.withColumn(name, docs["doc_id"] * 10)
+    rows = mixing.mixed(docs)
+    assert rows.columns == docs.columns
+    assert {tuple(r) for r in rows.collect()} <= {(i, "a b c", "s", *[i * 10] * len(names)) for i in range(4)}
+    assert rows.count() >= 4

@@ -114,6 +114,15 @@ def test_null_keys_repeated_rows_and_extra_columns(spark):
     assert sorted(r.fp for r in kept.collect()) == [1, 3, 4]
 
 
+def test_columns_of_any_name_come_back(spark):
+    docs = spark.createDataFrame([(1, "some text of five words"), (2, "some text of five words")], "doc_id long, text string")
+    for name in ("name", "__name", "row", "fp", "kept", "component", "key", "digest"):
+        docs = docs.withColumn(name, docs["doc_id"])
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert [tuple(r) for r in kept.collect()] == [(1, "some text of five words", *[1] * 8)]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).collect() == []

@@ -5,12 +5,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from marquee.llm import suffix_dedup
+from marquee.llm import stages, suffix_dedup
 from marquee.llm.suffixes import suffix_array
 
 
-def brute_force(texts: list[bytes], length: int) -> list[bytes]:
+def brute_force(texts: list[bytes], length: int, words: int = 0) -> list[bytes]:
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
     for t in texts:
@@ -18,6 +19,10 @@ def brute_force(texts: list[bytes], length: int) -> list[bytes]:
         for i in range(len(t) - length + 1):
             if seen[t[i : i + length]] > 1:
                 gone[i : i + length] = True
+        edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(int)))
+        for start, end in zip(edges[::2], edges[1::2]):
+            if len(t[start:end].split()) < words:
+                gone[start:end] = False
         out.append(bytes(np.frombuffer(t, np.uint8)[~gone]))
     return out
 
@@ -70,6 +75,39 @@ def test_repeated_rows_null_keys_and_extra_columns(spark):
     assert sorted((r.ranges, r.text) for r in written.collect()) == [(5, ""), (6, ""), (7, "other "), (8, None)]
 
 
+def test_the_stage_finds_passages_of_over_fifty_words(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnoprstu", k=rng.randint(3, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = {n: prose(n) for n in range(51, 81)}
+    short = prose(30)
+    texts = [f"{prose(40)}. {passage} {prose(rng.randint(20, 90))}" for passage in passages.values() for _ in range(3)]
+    clean = [f"{prose(60)} {short} {prose(60)}" for _ in range(40)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts + clean)], schema)
+    got = {r.doc_id: r for r in stages.suffix_array_dedup(spark, docs, "").collect()}
+    for i, text in enumerate(texts):
+        passage = list(passages.values())[i // 3]
+        rest = text.replace(passage, " ").split()
+        # Beside the passage goes what its three places have in common before and after it.
+        assert len(set(got[i].text.split()) & set(rest)) >= len(rest) - 3
+        assert not set(got[i].text.split()) & set(passage.split()[1:-1]) - set(rest)
+        assert got[i].n_chars == len(got[i].text)
+    assert [got[len(texts) + i].text for i in range(40)] == clean
+
+
+def test_columns_of_any_name_come_back(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, "a " + text), (2, "b " + text)], "doc_id long, text string")
+    names = ["rid", "__rid", "ranges", "__ranges", "ranges_", "row", "unit", "scope", "key", "start"]
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.col("doc_id") + i)
+    written = suffix_dedup.rewrite(docs, 64)
+    assert written.columns == docs.columns
+    assert sorted(map(tuple, written.collect())) == [(i, f"{'ab'[i - 1]}", *range(i, i + len(names))) for i in (1, 2)]
+    assert len(suffix_dedup.dedup(docs, 64).collect()) == 2
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.dedup(docs).collect() == []
