@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from marquee.functions.calendar import register_change_date  # noqa: E402
+from marquee.functions.calendar import register_change_date, year_month  # noqa: E402
 from marquee.functions.genre_names import GENRES_AS_SHIPPED  # noqa: E402
-from marquee.operators import als, evaluate, genres, nearest, popularity, similarity  # noqa: E402
+from marquee.operators import als, corating, evaluate, foldin, genres, maintained  # noqa: E402
+from marquee.operators import nearest, popularity, sessions, similarity, trends  # noqa: E402
 from marquee.operators import tags as tagging  # noqa: E402
 from marquee.schemas import MOVIE, RATING  # noqa: E402
 from marquee.session import scratch_path  # noqa: E402
@@ -34,9 +35,11 @@ from marquee.sources.warehouse import (  # noqa: E402
     movie_vectors,
     movies,
     ratings,
+    table,
     tags,
     user_vectors,
 )
+from marquee.streaming import popularity as streaming  # noqa: E402
 
 # The operators for training text are a part that can be left out as a whole.
 if importlib.util.find_spec("marquee.llm") and importlib.util.find_spec("corpus_pipeline"):
@@ -50,6 +53,9 @@ TOP_MOVIES = 10
 SHRINKAGE = (0.1, 1.0, 10.0, 100.0)
 SIMILAR = 5
 LOOKED_UP = (7, 77, 777)
+#: Ratings arrive in a run by their year; one in LATE comes a run later.
+CUTS, LATE = (1997, 1999, 2001), 16
+SESSION_GAP = 6 * 3600
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -171,6 +177,46 @@ def statistics_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(popularity.statistics_from_totals(totals), "avg")
 
 
+def _arrivals(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``arrival``, the run of the stream that finds them."""
+    year = F.floor(year_month(F.col("timestamp")) / 100)
+    mark = F.col("uid") * 31 + F.col("mid") * 17 + F.floor(F.col("timestamp") / 86400)
+    run = sum(((year >= cut).cast("int") for cut in CUTS), (F.pmod(mark, F.lit(LATE)) == 0).cast("int"))
+    return rows.withColumn("arrival", run)
+
+
+def streaming_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days closed by a stream in five runs, each from the checkpoint of the one before."""
+    landing, target, checkpoint = (scratch_path(spark, name) for name in ("landing", "days", "state"))
+    arriving = _arrivals(ratings(spark, sf_dir))
+    for run in range(len(CUTS) + 2):
+        arriving.where(F.col("arrival") == run).drop("arrival").write.mode("append").parquet(landing)
+        streaming.run(streaming.rating_stream(spark, landing), target, checkpoint)
+    days = streaming.closed_days(spark, target)
+    return days.select("day", "mid", "count", F.round(F.col("total") / F.col("scored"), 6).alias("avg"))
+
+
+def maintained_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches with ratings that come twice, compacted on the way, and deletes of what came twice."""
+    path = scratch_path(spark, "maintained")
+    arriving = _arrivals(ratings(spark, sf_dir))
+    twice = arriving.where("uid % 8 = 3 AND arrival < 2").drop("arrival")
+    maintained.record(path, 1, arriving.where("arrival < 2").drop("arrival"))
+    maintained.record(path, 2, arriving.where("arrival = 2").drop("arrival").unionByName(twice))
+    maintained.compact(spark, path)
+    maintained.record(path, 3, arriving.where("arrival > 2").drop("arrival"), twice)
+    return _rounded(popularity.statistics_from_totals(maintained.totals(spark, path)), "avg")
+
+
+def rating_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rating with number and average of the movie's ratings in the 30 days up to it."""
+    return _rounded(trends.with_trend(ratings(spark, sf_dir)), "recent_avg")
+
+
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.sessions(table(spark, sf_dir, "events"), SESSION_GAP)
+
+
 # --- genres and tags -------------------------------------------------------------
 
 
@@ -279,6 +325,29 @@ def als_item_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_movies(_als(spark, sf_dir).itemFactors)
 
 
+def als_fold_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users that a fit never saw, folded in: who gets factors, and of what width."""
+    rated = customer_ratings(spark, sf_dir)
+    model = als.keep(als.fit(rated.where("uid % 2 = 0")))
+    folded = foldin.fold_in(model.itemFactors, rated.where("uid % 2 = 1"))
+    return folded.select(F.col("id").alias("uid"), F.size("features").alias("width"))
+
+
+def fold_in_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All users folded in against movies with two factors each."""
+    movie = movie_vectors(spark, sf_dir).select(F.col("mid").alias("id"), F.slice("features", 1, 2).alias("features"))
+    folded = foldin.fold_in(movie, customer_ratings(spark, sf_dir))
+    rows = folded.select(F.col("id").alias("uid"), F.col("features")[0].alias("x"), F.col("features")[1].alias("y"))
+    return _rounded(rows, "x", "y")
+
+
+def co_rating_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The movies whose raters share most with a movie's, by likelihood ratio."""
+    pairs = corating.associated(customer_ratings(spark, sf_dir))
+    rows = corating.similar_movies(pairs.withColumn("llr", F.round("llr", 4)), SIMILAR)
+    return rows.withColumnRenamed("both", "shared")
+
+
 # --- evaluation ------------------------------------------------------------------
 
 
@@ -333,6 +402,10 @@ def queries() -> dict[str, Query]:
             popular_latest_month,
             average_score,
             statistics_one_pass,
+            streaming_popularity,
+            maintained_statistics,
+            rating_trend,
+            user_sessions,
             movies_with_average,
             genre_match,
             genre_top10,
@@ -349,6 +422,9 @@ def queries() -> dict[str, Query]:
             als_list_check,
             item_similarity,
             als_item_similarity,
+            als_fold_in,
+            fold_in_plane,
+            co_rating_top,
             split_train,
             split_test,
             rmse_baseline,
@@ -439,6 +515,17 @@ train AS (SELECT uid, mid, score, timestamp FROM digested WHERE digest >> 11 < {
 test AS (SELECT uid, mid, score, timestamp FROM digested WHERE digest >> 11 >= {int(0.8 * 2**53)})"""
 
 
+ARRIVALS = f"""{MONTHS},
+arrivals AS (
+  SELECT *, timestamp // 86400 AS day,
+         {" + ".join(f"CAST(yearmonth // 100 >= {cut} AS INT)" for cut in CUTS)}
+         + CAST((uid * 31 + mid * 17 + timestamp // 86400) % {LATE} = 0 AS INT) AS arrival
+  FROM months),
+latest AS (SELECT arrival, max(timestamp) AS latest FROM arrivals GROUP BY arrival),
+marks AS (
+  SELECT arrival, max(latest) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                  - 30 * 86400 AS mark
+  FROM latest)"""
 SPLIT = f"{RATINGS},\n{_split('ratings')}"
 MEANS = f"""{SPLIT},
 means AS (SELECT mid, avg(score) AS prediction FROM train GROUP BY mid)"""
@@ -491,6 +578,25 @@ ORDER BY yearmonth DESC, count DESC, mid""",
         "average_score": averages,
         "statistics_one_pass": f"""WITH {RATINGS}
 SELECT mid, count(mid) AS count, round(avg(score), 6) AS avg FROM ratings GROUP BY mid""",
+        "streaming_popularity": f"""WITH {ARRIVALS}
+SELECT CAST(day AS INT) AS day, mid, count(*) AS count, round(avg(score), 6) AS avg
+FROM arrivals JOIN marks USING (arrival)
+WHERE (mark IS NULL OR (day + 1) * 86400 > mark)
+  AND (day + 1) * 86400 <= (SELECT max(timestamp) - 30 * 86400 FROM arrivals)
+GROUP BY day, mid""",
+        "maintained_statistics": f"""WITH {RATINGS}
+SELECT mid, count(mid) AS count, round(avg(score), 6) AS avg FROM ratings GROUP BY mid""",
+        "rating_trend": f"""WITH {RATINGS}
+SELECT *, count(*) OVER frame AS recent, round(avg(score) OVER frame, 6) AS recent_avg FROM ratings
+WINDOW frame AS (PARTITION BY mid ORDER BY timestamp RANGE BETWEEN {30 * 86400} PRECEDING AND CURRENT ROW)""",
+        "user_sessions": f"""WITH timed AS (SELECT user_id, epoch_us(ts) AS moment FROM events),
+begun AS (
+  SELECT *, coalesce(moment - lag(moment) OVER (PARTITION BY user_id ORDER BY moment) > {SESSION_GAP}000000, true) AS fresh
+  FROM timed),
+numbered AS (
+  SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY user_id ORDER BY moment ROWS UNBOUNDED PRECEDING) AS number
+  FROM begun)
+SELECT user_id, min(moment) AS first, max(moment) AS last, count(*) AS events FROM numbered GROUP BY user_id, number""",
         "movies_with_average": f"""WITH {AVERAGES}, {MOVIES}
 SELECT mid, name, genres, avg FROM movies JOIN averages USING (mid)""",
         "genre_match": f"""WITH {MOVIES}
@@ -546,6 +652,39 @@ scored AS (
 SELECT mid, other, round(score, 6) AS score,
        CAST(row_number() OVER (PARTITION BY mid ORDER BY scored.score DESC, other) AS INT) AS rk
 FROM scored QUALIFY rk <= {SIMILAR}""",
+        "als_fold_in": f"""WITH {CUSTOMERS}
+SELECT DISTINCT uid, {als.RANK} AS width FROM customers
+WHERE uid % 2 = 1 AND mid IN (SELECT mid FROM customers WHERE uid % 2 = 0)""",
+        "fold_in_plane": f"""WITH {CUSTOMERS},
+vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS f, count(*) OVER () AS n FROM embeddings),
+items AS (
+  SELECT CAST(p_partkey AS INT) AS mid, f[1] AS u, f[2] AS v FROM part JOIN vectors ON p_partkey % n = vec_id),
+-- Two equations for each user, with the penalty on the diagonal.
+sums AS (
+  SELECT uid, sum(u * u) + {als.REG} * count(*) AS a, sum(v * v) + {als.REG} * count(*) AS b, sum(u * v) AS c,
+         sum(score * u) AS p, sum(score * v) AS q
+  FROM customers JOIN items USING (mid) GROUP BY uid)
+SELECT uid, round((b * p - c * q) / (a * b - c * c), 6) AS x, round((a * q - c * p) / (a * b - c * c), 6) AS y
+FROM sums""",
+        "co_rating_top": f"""WITH {CUSTOMERS},
+rated AS (SELECT DISTINCT uid, mid FROM customers),
+movie AS (SELECT mid, count(*) AS n FROM rated GROUP BY mid),
+pairs AS (
+  SELECT a.mid AS a, b.mid AS b, count(*) AS k FROM rated a JOIN rated b ON a.uid = b.uid AND a.mid < b.mid GROUP BY ALL),
+tables AS (
+  SELECT a, b, k, x.n AS m, y.n AS n, (SELECT count(DISTINCT uid) FROM rated) AS t
+  FROM pairs JOIN movie x ON x.mid = a JOIN movie y ON y.mid = b),
+-- The observed counts of the four cells against those of independent choices.
+cells AS (
+  SELECT a, b, k AS shared, t, unnest([k, m - k, n - k, t - m - n + k]) AS seen,
+         unnest([m * n, m * (t - n), (t - m) * n, (t - m) * (t - n)]) AS due
+  FROM tables WHERE k * t > m * n),
+judged AS (
+  SELECT a, b, shared, round(2 * sum(CASE WHEN seen > 0 THEN seen * ln(seen * t / due) ELSE 0 END), 4) AS llr
+  FROM cells GROUP BY a, b, shared),
+ways AS (SELECT a AS mid, b AS other, shared, llr FROM judged UNION ALL SELECT b, a, shared, llr FROM judged)
+SELECT mid, CAST(row_number() OVER (PARTITION BY mid ORDER BY llr DESC, other) AS INT) AS rk, other, shared, llr
+FROM ways QUALIFY rk <= {SIMILAR}""",
         "split_train": f"WITH {SPLIT} SELECT * FROM train",
         "split_test": f"WITH {SPLIT} SELECT * FROM test",
         "rmse_baseline": f"""WITH {MEANS}

@@ -1,0 +1,84 @@
+from __future__ import annotations
+
+import datetime
+import random
+
+import pytest
+
+from marquee.operators import sessions
+
+GAP = 60
+
+
+def plain(rows, gap):
+    out = []
+    by_user = {}
+    for user, at in rows:
+        if at is not None:
+            by_user.setdefault(user, []).append(at)
+    for user, times in by_user.items():
+        for at in sorted(times):
+            if out and out[-1][0] == user and at - out[-1][2] <= gap:
+                out[-1][2], out[-1][3] = at, out[-1][3] + 1
+            else:
+                out.append([user, at, at, 1])
+    return sorted(map(tuple, out), key=str)
+
+
+def stamped(spark, rows, kind):
+    zero = datetime.datetime(1970, 1, 1)
+    values = [(u, None if at is None else zero + datetime.timedelta(seconds=at), 1) for u, at in rows]
+    return spark.createDataFrame(values, "user_id long, ts timestamp_ntz, events int").withColumn("ts", _as(kind))
+
+
+def _as(kind):
+    from pyspark.sql import functions as F
+
+    return F.col("ts").cast(kind)
+
+
+def found(frame):
+    return sorted(((r.user_id, r["first"] / 1e6, r["last"] / 1e6, r.events) for r in frame.collect()), key=str)
+
+
+@pytest.mark.parametrize("span", [60, 300, 86400])
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_equals_plain_chaining(spark, span, kind):
+    rng = random.Random(span)
+    rows = []
+    for user in (1, 2, None):
+        at = -5000.0
+        for _ in range(120):
+            at += rng.choice([0, 1, 5, 30, 59, 60, 60.5, 61, 200, 1000])
+            rows.append((user, at))
+    rows += [(9, 100.0 + 50 * k) for k in range(400)]  # one session over many ranges
+    rows += [(10, None), (11, 0.25), (11, 0.25)]
+    rng.shuffle(rows)
+    got = found(sessions.sessions(stamped(spark, rows, kind).repartition(5), GAP, span=span))
+    assert got == plain(rows, GAP)
+
+
+def test_session_zone_plays_no_part(spark):
+    rows = [(1, 30.0 * k) for k in range(100)] + [(1, 9000.0)]
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        assert found(sessions.sessions(stamped(spark, rows, "timestamp_ntz"), GAP)) == plain(rows, GAP)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_empty_and_other_columns(spark):
+    frame = stamped(spark, [(1, 0.0), (1, 10.0)], "timestamp_ntz")
+    for name in ("first", "last", "cell", "who", "time", "range", "number"):
+        frame = frame.withColumn(name, frame["events"])
+    assert found(sessions.sessions(frame, GAP)) == [(1, 0.0, 10.0, 2)]
+    assert sessions.sessions(frame.limit(0)).collect() == []
+
+
+def test_a_hot_user_is_added_up_before_the_shuffle(spark):
+    """One user with nearly all events gives a row per task and cell, and two per range at the end."""
+    rows = [(1, k * 0.5) for k in range(20_000)] + [(2, 1.0)]
+    frame = sessions.sessions(stamped(spark, rows, "timestamp_ntz").repartition(4), GAP, span=600)
+    assert found(frame) == [(1, 0.0, 9999.5, 20_000), (2, 1.0, 1.0, 1)]
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and plan.index("partial_count") > plan.index("Window")

@@ -1,0 +1,98 @@
+from __future__ import annotations
+
+import random
+from collections import defaultdict
+
+from marquee.operators import popularity
+from marquee.schemas import RATING
+from marquee.streaming import popularity as streaming
+
+DAY = 86400
+
+
+def arrive(spark, folder, rows):
+    spark.createDataFrame(rows, RATING).repartition(3).write.mode("append").parquet(folder)
+
+
+def expected(runs, delay):
+    """Day and movie to counts and score sums, by the rule of the module's description."""
+    open_days, closed, mark = defaultdict(list), {}, None
+    for rows in runs:
+        for _, mid, score, at in rows:
+            if mark is None or (at // DAY + 1) * DAY > mark:
+                open_days[at // DAY, mid].append(score)
+        if rows:
+            mark = max(max(at for *_, at in rows) - delay, mark or 0)
+        for key in [key for key in open_days if (key[0] + 1) * DAY <= mark]:
+            closed[key] = open_days.pop(key)
+    return {key: (len(v), round(sum(s for s in v if s is not None), 6)) for key, v in closed.items()}
+
+
+def found(spark, target):
+    return {(r.day, r.mid): (r["count"], round(r.total or 0, 6)) for r in streaming.closed_days(spark, target).collect()}
+
+
+def random_runs(seed, n=4):
+    rng = random.Random(seed)
+    start = 10_000 * DAY
+    out = []
+    for k in range(n):
+        # Each run brings its own weeks, and some rows of the weeks before; movie 7 has a third.
+        times = [start + (k * 20 + rng.randint(0, 20) - rng.choice([0, 0, 0, 4, 12, 40])) * DAY + rng.randrange(DAY) for _ in range(300)]
+        out.append([(i, rng.choice([7, rng.randint(1, 9), rng.randint(1, 9)]), rng.randint(1, 50) / 10, at) for i, at in enumerate(times)])
+    return out
+
+
+def test_runs_close_days_and_drop_late_rows(spark, tmp_path):
+    runs = random_runs(1)
+    landing, target, checkpoint = (str(tmp_path / name) for name in ("in", "out", "state"))
+    late = 0
+    for k, rows in enumerate(runs):
+        arrive(spark, landing, rows)
+        # A new stream object each time: all it knows of the runs before is in the checkpoint.
+        report = streaming.run(streaming.rating_stream(spark, landing), target, checkpoint, "10 days")
+        assert report["read"] == len(rows)
+        late += report["late"]
+        assert found(spark, target) == expected(runs[: k + 1], 10 * DAY)
+    assert late > 0
+
+
+def test_a_run_without_arrivals_changes_nothing(spark, tmp_path):
+    landing, target, checkpoint = (str(tmp_path / name) for name in ("in", "out", "state"))
+    arrive(spark, landing, random_runs(2)[0])
+    streaming.run(streaming.rating_stream(spark, landing), target, checkpoint, "5 days")
+    before = found(spark, target)
+    assert streaming.run(streaming.rating_stream(spark, landing), target, checkpoint, "5 days") == {"read": 0, "late": 0}
+    assert found(spark, target) == before != {}
+
+
+def test_a_run_stopped_before_its_commit_is_repeated_once(spark, tmp_path):
+    """The state of a batch that was planned, but not committed, is that of the batch before."""
+    runs = random_runs(3, 3)
+    landing, target, checkpoint = (str(tmp_path / name) for name in ("in", "out", "state"))
+    for rows in runs[:2]:
+        arrive(spark, landing, rows)
+        streaming.run(streaming.rating_stream(spark, landing), target, checkpoint, "10 days")
+    commits = sorted((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (tmp_path / "state" / "commits" / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    arrive(spark, landing, runs[2])
+    streaming.run(streaming.rating_stream(spark, landing), target, checkpoint, "10 days")
+    assert found(spark, target) == expected(runs, 10 * DAY)
+
+
+def test_months_from_closed_days(spark, tmp_path):
+    rows = [row for run in random_runs(4) for row in run]
+    ratings = spark.createDataFrame([*rows, (1, 5, None, 10_000 * DAY), (1, 5, 1.0, None)], RATING)
+    timed = ratings.where("timestamp IS NOT NULL")
+    days = streaming.daily_totals(ratings)  # the same on a table, without lateness
+    got = {(r.yearmonth, r.mid): (r["count"], r.scored, round(r.total, 6)) for r in streaming.monthly_totals(days).collect()}
+    want = {(r.yearmonth, r.mid): (r["count"], r.scored, round(r.total, 6)) for r in popularity.monthly_totals(timed).collect()}
+    assert got == want
+
+
+def test_partial_sums_precede_the_shuffle(spark, tmp_path):
+    from conftest import plan_of
+
+    plan = plan_of(streaming.daily_totals(spark.createDataFrame([], RATING)))
+    assert plan.count("HashAggregate") == 2 or plan.count("Aggregate") >= 2
