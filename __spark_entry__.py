@@ -9,6 +9,7 @@ of vectors after.
 
 from __future__ import annotations
 
+import importlib
 import importlib.util
 import os
 import sys
@@ -22,7 +23,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from marquee.functions.calendar import register_change_date, year_month  # noqa: E402
 from marquee.functions.genre_names import GENRES_AS_SHIPPED  # noqa: E402
 from marquee.operators import als, corating, evaluate, foldin, genres, maintained  # noqa: E402
-from marquee.operators import nearest, popularity, sessions, similarity, trends  # noqa: E402
+from marquee.operators import nearest, popularity, sessions, similarity, timetree, trends  # noqa: E402
 from marquee.operators import tags as tagging  # noqa: E402
 from marquee.schemas import MOVIE, RATING  # noqa: E402
 from marquee.session import scratch_path  # noqa: E402
@@ -41,10 +42,13 @@ from marquee.sources.warehouse import (  # noqa: E402
 )
 from marquee.streaming import popularity as streaming  # noqa: E402
 
-# The operators for training text are a part that can be left out as a whole.
-if importlib.util.find_spec("marquee.llm") and importlib.util.find_spec("corpus_pipeline"):
-    from marquee.llm import queries as llm  # noqa: E402
-else:
+# The operators for training text, and what they need, are a part that can be left out as a whole.
+try:
+    importlib.import_module("corpus_pipeline")
+    llm = importlib.import_module("marquee.llm.queries")
+except ModuleNotFoundError as missing:
+    if missing.name.startswith("marquee.") and importlib.util.find_spec("marquee.llm"):
+        raise  # the part is there, but broken
     llm = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -139,6 +143,15 @@ def clustered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clustered(spark, sf_dir).where(F.col("mid").isin(*LOOKED_UP))
 
 
+def curved_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratings of three users and of three movies, from one table in the order of both."""
+    path = scratch_path(spark, "ratings-by-both")
+    tables.write_curved(customer_ratings(spark, sf_dir), path, ("uid", "mid"))
+    stored = tables.read_table(spark, path, RATING)
+    found = [stored.where(F.col(key).isin(*LOOKED_UP)).withColumn("by", F.lit(key)) for key in ("uid", "mid")]
+    return found[0].unionByName(found[1])
+
+
 # --- statistics ------------------------------------------------------------------
 
 
@@ -220,6 +233,20 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- genres and tags -------------------------------------------------------------
 
 
+def genre_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each genre from the first day of every quarter to that of every later one, by the tree of days."""
+    path = scratch_path(spark, "tree")
+    days = timetree.daily_by_genre(ratings(spark, sf_dir), movies(spark, sf_dir), GENRES_AS_SHIPPED)
+    tables.write_table(timetree.build(days), path)
+    tree = tables.read_table(spark, path)
+    quarters = ratings(spark, sf_dir).select(F.trunc(F.timestamp_seconds("timestamp"), "quarter").alias("q"))
+    starts = F.array_sort(F.collect_set(F.unix_date("q")))
+    pair = F.transform("days", lambda a: F.transform(F.filter("days", lambda b: b > a), lambda b: F.struct(a.alias("first"), b.alias("end"))))
+    ranges = quarters.agg(starts.alias("days")).select(F.inline(F.flatten(pair)))
+    asked = ranges.select(F.explode(F.array(*map(F.lit, GENRES_AS_SHIPPED))).alias("genre"), "first", "end")
+    return _rounded(timetree.lookup(tree, asked).drop("avg"), "total")
+
+
 def movies_with_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genres.movies_with_average(
         movies(spark, sf_dir).select("mid", "name", "genres"), _averages(spark, sf_dir)
@@ -376,10 +403,29 @@ def grid_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.best_point(grid_points(spark, sf_dir), [F.col("reg")])
 
 
+_GRIDS: dict[tuple[str, str], str] = {}
+
+
 def als_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole default grid: 12 fits."""
-    train, test = evaluate.split(customer_ratings(spark, sf_dir))
-    return evaluate.grid_search(train, test, parallelism=4)
+    """The whole default grid: 12 fits, all on the cached train ratings. Searched once in an
+    application, as the two queries of the grid ask for the same."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _GRIDS:
+        train, test = evaluate.split(customer_ratings(spark, sf_dir))
+        path = scratch_path(spark, "grid")
+        tables.write_table(evaluate.grid_search(train, test, parallelism=4), path)
+        _GRIDS[key] = path
+    return spark.read.schema("rank int, reg double, rmse double").parquet(_GRIDS[key])
+
+
+def als_grid_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each point of that grid: whether it has an error, and none below the chosen one's."""
+    grid = als_grid_search(spark, sf_dir)
+    least = evaluate.best_parameters(grid).select("rmse").scalar()
+    error = F.col("rmse")
+    return grid.select(
+        "rank", "reg", ((error > 0) & (error < float("inf"))).alias("has_error"), (error >= least).alias("no_better_than_chosen")
+    )
 
 
 def queries() -> dict[str, Query]:
@@ -394,6 +440,7 @@ def queries() -> dict[str, Query]:
             sink_roundtrip,
             clustered_counts,
             clustered_lookup,
+            curved_lookup,
             rating_count,
             popular_top_n,
             rating_yearmonth,
@@ -408,6 +455,7 @@ def queries() -> dict[str, Query]:
             user_sessions,
             movies_with_average,
             genre_match,
+            genre_ranges,
             genre_top10,
             genre_top10_nested,
             tags_by_movie,
@@ -432,6 +480,7 @@ def queries() -> dict[str, Query]:
             grid_points,
             grid_argmin,
             als_grid_search,
+            als_grid_check,
         )
     } | (llm.queries() if llm else {})
 
@@ -563,6 +612,21 @@ def oracle_sql() -> dict[str, str]:
         "sink_roundtrip": averages,
         "clustered_counts": COUNTS,
         "clustered_lookup": f"WITH {RATINGS} SELECT * FROM ratings WHERE mid IN {LOOKED_UP}",
+        "curved_lookup": f"""WITH {CUSTOMERS}
+SELECT *, 'uid' AS by FROM customers WHERE uid IN {LOOKED_UP}
+UNION ALL SELECT *, 'mid' FROM customers WHERE mid IN {LOOKED_UP}""",
+        "genre_ranges": f"""WITH {RATINGS}, {MOVIES},
+matched AS (
+  SELECT genre, mid FROM movies, (SELECT unnest({_list(GENRES_AS_SHIPPED)}) AS genre)
+  WHERE contains(lower(genres), lower(genre))),
+days AS (
+  SELECT genre, timestamp // 86400 AS day, count(*) AS n, sum(score) AS total
+  FROM ratings JOIN matched USING (mid) GROUP BY ALL),
+quarters AS (
+  SELECT DISTINCT CAST(epoch(date_trunc('quarter', make_timestamp(CAST(timestamp AS BIGINT) * 1000000))) // 86400 AS INT) AS q
+  FROM ratings)
+SELECT genre, a.q AS first, b.q AS "end", CAST(sum(n) AS BIGINT) AS count, round(sum(total), 6) AS total
+FROM quarters a JOIN quarters b ON a.q < b.q JOIN days ON day >= a.q AND day < b.q GROUP BY genre, a.q, b.q""",
         "typed_movies": f"WITH {MOVIES} SELECT * FROM movies",
         "rating_count": COUNTS,
         "popular_top_n": f"{COUNTS} ORDER BY count DESC, mid LIMIT {TOP_MOVIES}",
@@ -695,4 +759,6 @@ SELECT round(sqrt(avg((score - prediction) ** 2)), 6) AS rmse
 FROM test JOIN predicted USING (uid, mid)""",
         "grid_points": f"WITH {GRID} SELECT reg, rmse FROM grid",
         "grid_argmin": f"WITH {GRID} SELECT reg, rmse FROM grid ORDER BY rmse, reg LIMIT 1",
+        "als_grid_check": f"""SELECT rank, reg, true AS has_error, true AS no_better_than_chosen
+FROM (SELECT unnest({list(evaluate.RANKS)}) AS rank), (SELECT CAST(unnest({list(evaluate.REGS)}) AS DOUBLE) AS reg)""",
     } | (llm.oracle_sql() if llm else {})

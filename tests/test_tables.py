@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import glob
+import random
+from collections import Counter
 from types import SimpleNamespace
 
 import pyarrow.parquet as pq
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marquee.schemas import RATING, conform
 from marquee.session import scratch_path, shared_dir
+from marquee.sources import tables
 from marquee.sources.tables import read_table, write_clustered, write_table
 
 
@@ -147,3 +150,50 @@ def test_a_lookup_reads_few_files_and_row_groups(spark, tmp_path):
     assert sum(g.min <= 77 <= g.max for g in groups) <= 2
     assert "EqualTo(mid,77)" in plan_of(looked_up)
     assert looked_up.count() == 40
+
+
+def test_clustered_and_curved_keep_columns_of_any_name(spark, tmp_path):
+    df = spark.createDataFrame([(i % 5, i) for i in range(50)], "mid int, uid int")
+    for name in ("_rest", "_input", "row", "rest", "input", "key", "key0", "place0", "curve"):
+        df = df.withColumn(name, df["uid"])
+    for k, write in enumerate((lambda path: tables.write_clustered(df, path, "mid"), lambda path: tables.write_curved(df, path, ("uid", "mid")))):
+        path = str(tmp_path / str(k))
+        write(path)
+        stored = tables.read_table(spark, path)
+        assert stored.columns == df.columns
+        assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, df.collect()))
+
+
+def shares(spark, path, key, values):
+    """The largest part of the files whose range holds a value."""
+    files = tables.files_with(tables.read_table(spark, path), key).collect()
+    return max(sum(f.low <= v <= f.high for f in files) for v in values) / len(files)
+
+
+def test_curve_narrows_both_keys(spark, tmp_path):
+    """By either key a lookup meets well under half of the files, also beside a value with a third of all rows."""
+    path, rng = str(tmp_path / "t"), random.Random(1)
+    rows = [(rng.choice([7, rng.randint(1, 1000), rng.randint(1, 1000)]), int(rng.expovariate(0.01))) for _ in range(20_000)]
+    tables.write_curved(spark.createDataFrame(rows, "uid int, mid int").repartition(6), path, ("uid", "mid"), files=64)
+    assert shares(spark, path, "uid", [u for u in range(1, 1000, 13) if u != 7]) <= 0.35
+    assert shares(spark, path, "mid", range(0, 400, 7)) <= 0.35
+    assert shares(spark, path, "uid", [7]) <= 0.75  # its own third, and what borders on it
+    clustered = str(tmp_path / "c")
+    tables.write_clustered(tables.read_table(spark, path), clustered, "mid", files=64)
+    assert shares(spark, clustered, "uid", [500]) > 0.9
+
+
+def test_curve_takes_nulls_copies_and_empty_tables(spark, tmp_path):
+    rows = [(None, 1), (1, None), (None, None), *[(5, 5)] * 300]
+    df = spark.createDataFrame(rows, "uid int, mid long")
+    for k, frame in enumerate((df, df.limit(0), df.where("uid IS NULL"))):
+        path = str(tmp_path / str(k))
+        tables.write_curved(frame, path, ("uid", "mid"))
+        assert Counter(map(tuple, spark.read.schema(df.schema).parquet(path).collect())) == Counter(map(tuple, frame.collect()))
+
+
+def test_curve_is_a_numbering_of_the_cells(spark):
+    cells = spark.range(32 * 32).selectExpr("CAST(id % 32 AS INT) AS x", "CAST(id div 32 AS INT) AS y")
+    got = {(r.x, r.y): r.d for r in cells.select("x", "y", tables._along_curve(F.col("x"), F.col("y")).alias("d")).collect()}
+    for (x, y), d in got.items():
+        assert d == sum(((x >> b & 1) << 2 * b + 1) | ((y >> b & 1) << 2 * b) for b in range(5))

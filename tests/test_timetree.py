@@ -1,0 +1,58 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+from conftest import plan_of
+from pyspark.sql import functions as F
+
+from marquee.operators import timetree
+
+GENRES = ("Action", "War", "Drama")
+
+
+def test_cover_is_exact_and_small(spark):
+    rng = random.Random(1)
+    ranges = [(a, a + rng.choice([0, 1, 2, 7, 100, 3000, 40_000])) for a in (rng.randint(-3000, 20_000) for _ in range(300))]
+    ranges += [(5, 3), (0, 16384), (-1, 1)]
+    frame = spark.createDataFrame(ranges, "first int, end int").select("*", timetree.cover(F.col("first"), F.col("end"), 13).alias("nodes"))
+    for r in frame.collect():
+        days = [d for n in r.nodes for d in range(n.node << n.level, (n.node + 1) << n.level)]
+        assert sorted(days) == list(range(r["first"], r.end))
+        whole = max(0, r.end - r["first"]) // (1 << 12)
+        assert len(r.nodes) <= 2 * 12 + whole
+
+
+@pytest.mark.parametrize("levels", [1, 6, 15])
+def test_lookups_equal_sums_over_ratings(spark, ratings_of, levels):
+    rng = random.Random(levels)
+    kinds = {m: "|".join(rng.sample(GENRES, rng.randint(0, 3))) for m in range(12)}
+    movies = spark.createDataFrame(list(kinds.items()), "mid int, genres string")
+    rows = [(i, rng.randrange(14), rng.choice([None, 1.0, 2.5]), rng.randrange(-50 * 86400, 90 * 86400)) for i in range(400)]
+    rows += [(1, 3, 1.0, None)]
+    ranges = [(rng.choice(GENRES), a, a + rng.randint(0, 80)) for a in (rng.randint(-60, 100) for _ in range(40))]
+    ranges += ranges[:3]
+    tree = timetree.build(timetree.daily_by_genre(ratings_of(*rows), movies, GENRES), levels)
+    got = {(r.genre, r["first"], r.end): (r["count"], r.avg) for r in timetree.lookup(tree, spark.createDataFrame(ranges, "genre string, first int, end int"), levels).collect()}
+    want = {}
+    for genre, first, end in ranges:
+        inside = [s for _, m, s, t in rows if t is not None and first <= t // 86400 < end and genre in kinds.get(m, "")]
+        if inside:
+            scores = [s for s in inside if s is not None]
+            want[genre, first, end] = len(inside), pytest.approx(sum(scores) / len(scores)) if scores else None
+    assert got == want
+
+
+def test_trees_add_up_and_lookups_leave_the_ratings_alone(spark, ratings_of, tmp_path):
+    movies = spark.createDataFrame([(1, "War"), (2, "War|Drama")], "mid int, genres string")
+    halves = [ratings_of(*((u, 1 + u % 2, 2.0, u * 90_000) for u in range(k, 200, 2))) for k in (0, 1)]
+    trees = [timetree.build(timetree.daily_by_genre(half, movies, GENRES)) for half in halves]
+    whole = timetree.build(timetree.daily_by_genre(halves[0].unionByName(halves[1]), movies, GENRES))
+    whole.write.parquet(str(tmp_path / "tree"))
+    ranges = spark.createDataFrame([("War", 3, 150), ("Drama", 0, 7)], "genre string, first int, end int")
+    stored = spark.read.parquet(str(tmp_path / "tree"))
+    found = timetree.lookup(stored, ranges)
+    plan = plan_of(found)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, timetree.lookup(trees[0].unionByName(trees[1]), ranges).collect()))
+    assert plan.count("FileScan parquet") == 1 and "timestamp" not in plan
+    assert timetree.lookup(stored.limit(0), ranges).collect() == [] and timetree.lookup(stored, ranges.limit(0)).collect() == []
