@@ -22,8 +22,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from marquee.functions.calendar import register_change_date, year_month  # noqa: E402
 from marquee.functions.genre_names import GENRES_AS_SHIPPED  # noqa: E402
-from marquee.operators import als, corating, evaluate, foldin, genres, maintained  # noqa: E402
-from marquee.operators import nearest, popularity, sessions, similarity, timetree, trends  # noqa: E402
+from marquee.operators import als, bootstrap, corating, diverse, evaluate, foldin, genres  # noqa: E402
+from marquee.operators import maintained, nearest, pagerank, popularity, sessions, similarity  # noqa: E402
+from marquee.operators import sketches, timetree, trends  # noqa: E402
 from marquee.operators import tags as tagging  # noqa: E402
 from marquee.schemas import MOVIE, RATING  # noqa: E402
 from marquee.session import scratch_path  # noqa: E402
@@ -60,6 +61,9 @@ LOOKED_UP = (7, 77, 777)
 #: Ratings arrive in a run by their year; one in LATE comes a run later.
 CUTS, LATE = (1997, 1999, 2001), 16
 SESSION_GAP = 6 * 3600
+WALK_ROUNDS = 4
+REPLICATES = 40
+DIVERSE = 3
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -226,6 +230,27 @@ def rating_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(trends.with_trend(ratings(spark, sf_dir)), "recent_avg")
 
 
+def score_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each year, merged from summaries by movie and month: ratings, and whether median, raters
+    and the heaviest rater's count are within their bounds."""
+    rows = ratings(spark, sf_dir)
+    path = scratch_path(spark, "summaries")
+    tables.write_table(sketches.build(rows), path)
+    year = F.floor(F.col("yearmonth") / 100).cast("int").alias("year")
+    found = sketches.read(sketches.merged(tables.read_table(spark, path).select("*", year), ["year"]), [0.5], 1)
+    by_year = rows.select("uid", "score", F.floor(year_month(F.col("timestamp")) / 100).cast("int").alias("year"))
+    exact = by_year.groupBy("year", "uid").agg(F.count("uid").alias("n")).groupBy("year").agg(F.count("uid").alias("users"), F.max("n").alias("most"))
+    median = F.col("quantiles")[0]
+    ranked = by_year.join(found, "year").join(exact, "year").groupBy("year", "count").agg(
+        F.avg((F.col("score") < median).cast("int")).alias("below"),
+        F.avg((F.col("score") <= median).cast("int")).alias("upto"),
+        F.first(F.abs(F.col("raters") - F.col("users")) <= 0.05 * F.col("users")).alias("raters_within"),
+        F.first(F.abs(F.col("heaviest")[0]["count"] - F.col("most")) <= F.col("count") / (0.75 * sketches.TRACKED)).alias("heaviest_within"),
+    )
+    within = (F.col("below") - sketches.RANK_ERROR <= 0.5) & (F.col("upto") + sketches.RANK_ERROR >= 0.5)
+    return ranked.select("year", "count", within.alias("median_within"), "raters_within", "heaviest_within")
+
+
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.sessions(table(spark, sf_dir, "events"), SESSION_GAP)
 
@@ -352,6 +377,22 @@ def als_item_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_movies(_als(spark, sf_dir).itemFactors)
 
 
+def diverse_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each user's 20 best movies the three that differ most for their scores."""
+    items = movie_vectors(spark, sf_dir).withColumnRenamed("mid", "id")
+    users = user_vectors(spark, sf_dir).withColumnRenamed("uid", "id")
+    lists = nearest.top_k_by_product(users, items, als.PER_USER, positive=True).withColumnRenamed("id", "uid")
+    return _rounded(diverse.diversify(lists, items, DIVERSE), "score", "gain")
+
+
+def rating_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of users and movies for a walker who starts at three users, one of whom may have no rating."""
+    edges = pagerank.rating_graph(customer_ratings(spark, sf_dir))
+    seeds = spark.createDataFrame([(f"u{uid}", 1.0) for uid in LOOKED_UP], "node string, weight double")
+    ranks = pagerank.pagerank(edges, seeds, rounds=WALK_ROUNDS, tolerance=0.0)
+    return ranks.select("node", F.round("rank", 9).alias("rank"))
+
+
 def als_fold_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users that a fit never saw, folded in: who gets factors, and of what width."""
     rated = customer_ratings(spark, sf_dir)
@@ -395,6 +436,19 @@ def rmse_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.rmse_of_pairs(test, evaluate.movie_means(train)), "rmse")
 
 
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = evaluate.split(ratings(spark, sf_dir))
+    return bootstrap.replicates(test.join(evaluate.movie_means(train), "mid"), ["uid", "mid", "timestamp"], REPLICATES)
+
+
+def rmse_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_errors(spark, sf_dir), "rmse")
+
+
+def rmse_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(bootstrap.interval(_errors(spark, sf_dir)), "low", "high")
+
+
 def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.shrinkage_grid(ratings(spark, sf_dir), SHRINKAGE), "rmse")
 
@@ -453,6 +507,7 @@ def queries() -> dict[str, Query]:
             maintained_statistics,
             rating_trend,
             user_sessions,
+            score_summaries,
             movies_with_average,
             genre_match,
             genre_ranges,
@@ -470,6 +525,8 @@ def queries() -> dict[str, Query]:
             als_list_check,
             item_similarity,
             als_item_similarity,
+            diverse_top,
+            rating_walk,
             als_fold_in,
             fold_in_plane,
             co_rating_top,
@@ -477,6 +534,8 @@ def queries() -> dict[str, Query]:
             split_test,
             rmse_baseline,
             rmse_pairs,
+            rmse_replicates,
+            rmse_interval,
             grid_points,
             grid_argmin,
             als_grid_search,
@@ -575,9 +634,57 @@ marks AS (
   SELECT arrival, max(latest) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
                   - 30 * 86400 AS mark
   FROM latest)"""
+TOPS = f"""{CUSTOMERS},
+weights AS (SELECT uid, mid, sum(score) AS weight FROM customers GROUP BY uid, mid),
+vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS f, count(*) OVER () AS n FROM embeddings),
+items AS (
+  SELECT CAST(p_partkey AS INT) AS mid, f FROM part JOIN vectors ON p_partkey % n = vec_id),
+parts AS (SELECT mid, unnest(f) AS x, generate_subscripts(f, 1) AS d FROM items),
+sums AS (
+  SELECT uid, d, sum(weight * x) / sum(weight) AS x FROM weights JOIN parts USING (mid)
+  GROUP BY uid, d),
+users AS (SELECT uid, list(x ORDER BY d) AS f FROM sums GROUP BY uid),
+-- Movies share vectors, so a user's score is worked out once for each vector.
+scored AS (
+  SELECT uid, vec_id, list_inner_product(users.f, vectors.f) AS product FROM users, vectors),
+ranked AS (
+  SELECT uid, CAST(p_partkey AS INT) AS mid, product
+  FROM scored JOIN vectors USING (vec_id) JOIN part ON p_partkey % n = vec_id WHERE product > 0),
+tops AS (
+  SELECT uid, mid, product,
+         CAST(row_number() OVER (PARTITION BY uid ORDER BY product DESC, mid) AS INT) AS rk
+  FROM ranked QUALIFY rk <= {als.PER_USER})"""
+WALK = f"""{CUSTOMERS},
+links AS (SELECT 'u' || uid AS a, 'm' || mid AS b, sum(score) AS w FROM customers GROUP BY ALL),
+shares AS (
+  SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share
+  FROM (SELECT a AS src, b AS dst, w FROM links UNION ALL SELECT b, a, w FROM links)),
+starts AS (SELECT 'u' || unnest({list(LOOKED_UP)}) AS node, 1 / {len(LOOKED_UP)} AS start),
+ranks0 AS (SELECT node, start AS rank FROM starts)""" + "".join(
+    f""",
+got{i} AS MATERIALIZED (
+  SELECT dst AS node, sum(rank * share) AS got FROM ranks{i - 1} JOIN shares ON node = src GROUP BY dst),
+ranks{i} AS MATERIALIZED (
+  SELECT node, (0.15 + 0.85 * (1 - (SELECT sum(got) FROM got{i}))) * coalesce(start, 0) + 0.85 * coalesce(got, 0) AS rank
+  FROM got{i} FULL JOIN starts USING (node))"""
+    for i in range(1, WALK_ROUNDS + 1)
+)
 SPLIT = f"{RATINGS},\n{_split('ratings')}"
 MEANS = f"""{SPLIT},
 means AS (SELECT mid, avg(score) AS prediction FROM train GROUP BY mid)"""
+DRAWN = f"""{MEANS},
+drawn AS (
+  SELECT (score - prediction) ** 2 AS square, place, digit,
+         md5('0|' || place || '|' || uid || '|' || mid || '|' || timestamp) AS digest
+  FROM test JOIN means USING (mid), (SELECT unnest(range({REPLICATES // 8})) AS place), (SELECT unnest(range(8)) AS digit)),
+times AS (
+  SELECT place * 8 + digit AS replicate, square,
+         len(list_filter({bootstrap.thresholds()}, lambda t: CAST('0x' || substr(digest, 4 * digit + 1, 4) AS INT) >= t)) AS w
+  FROM drawn),
+replicates AS (
+  SELECT CAST(replicate AS INT) AS replicate, CAST(sum(w) AS BIGINT) AS n, sqrt(sum(w * square) / sum(w)) AS rmse
+  FROM times GROUP BY replicate)"""
 GRID = f"""{SPLIT},
 totals AS (SELECT mid, sum(score) AS s, count(*) AS n FROM train GROUP BY mid),
 shrunken AS (
@@ -653,6 +760,9 @@ SELECT mid, count(mid) AS count, round(avg(score), 6) AS avg FROM ratings GROUP
         "rating_trend": f"""WITH {RATINGS}
 SELECT *, count(*) OVER frame AS recent, round(avg(score) OVER frame, 6) AS recent_avg FROM ratings
 WINDOW frame AS (PARTITION BY mid ORDER BY timestamp RANGE BETWEEN {30 * 86400} PRECEDING AND CURRENT ROW)""",
+        "score_summaries": f"""WITH {MONTHS}
+SELECT yearmonth // 100 AS year, count(*) AS count, true AS median_within, true AS raters_within, true AS heaviest_within
+FROM months GROUP BY year""",
         "user_sessions": f"""WITH timed AS (SELECT user_id, epoch_us(ts) AS moment FROM events),
 begun AS (
   SELECT *, coalesce(moment - lag(moment) OVER (PARTITION BY user_id ORDER BY moment) > {SESSION_GAP}000000, true) AS fresh
@@ -678,26 +788,26 @@ SELECT mid, string_agg(DISTINCT tag, '|' ORDER BY tag) AS tags FROM tags GROUP B
 SELECT * FROM movies LEFT JOIN joined USING (mid)""",
         "distinct_users": f"WITH {CUSTOMERS} SELECT DISTINCT uid FROM customers",
         "distinct_movies": f"WITH {RATINGS} SELECT DISTINCT mid FROM ratings",
-        "topk_positive_per_user": f"""WITH {CUSTOMERS},
-weights AS (SELECT uid, mid, sum(score) AS weight FROM customers GROUP BY uid, mid),
-vectors AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS f, count(*) OVER () AS n FROM embeddings),
-items AS (
-  SELECT CAST(p_partkey AS INT) AS mid, f FROM part JOIN vectors ON p_partkey % n = vec_id),
-parts AS (SELECT mid, unnest(f) AS x, generate_subscripts(f, 1) AS d FROM items),
-sums AS (
-  SELECT uid, d, sum(weight * x) / sum(weight) AS x FROM weights JOIN parts USING (mid)
-  GROUP BY uid, d),
-users AS (SELECT uid, list(x ORDER BY d) AS f FROM sums GROUP BY uid),
--- Movies share vectors, so a user's score is worked out once for each vector.
-scored AS (
-  SELECT uid, vec_id, list_inner_product(users.f, vectors.f) AS product FROM users, vectors),
-ranked AS (
-  SELECT uid, CAST(p_partkey AS INT) AS mid, product
-  FROM scored JOIN vectors USING (vec_id) JOIN part ON p_partkey % n = vec_id WHERE product > 0)
-SELECT uid, mid, round(product, 6) AS score,
-       CAST(row_number() OVER (PARTITION BY uid ORDER BY product DESC, mid) AS INT) AS rk
-FROM ranked QUALIFY rk <= {als.PER_USER}""",
+        "topk_positive_per_user": f"""WITH {TOPS}
+SELECT uid, mid, round(product, 6) AS score, rk FROM tops""",
+        "diverse_top": f"""WITH {TOPS},
+gained AS (SELECT uid, mid, product, 0.7 * product AS worth, f FROM tops JOIN items USING (mid)),
+first AS (SELECT *, round(worth, 9) AS gain FROM gained
+  QUALIFY row_number() OVER (PARTITION BY uid ORDER BY round(worth, 9) DESC, mid) = 1),
+seconds AS (
+  SELECT g.*, g.worth, list_cosine_similarity(g.f, first.f) AS near
+  FROM gained g JOIN first USING (uid) WHERE g.mid <> first.mid),
+second AS (SELECT *, round(worth - 0.3 * near, 9) AS gain FROM seconds
+  QUALIFY row_number() OVER (PARTITION BY uid ORDER BY round(worth - 0.3 * near, 9) DESC, mid) = 1),
+thirds AS (
+  SELECT s.*, greatest(s.near, list_cosine_similarity(s.f, second.f)) AS nearer
+  FROM seconds s JOIN second USING (uid) WHERE s.mid <> second.mid),
+third AS (SELECT *, round(worth - 0.3 * nearer, 9) AS gain FROM thirds
+  QUALIFY row_number() OVER (PARTITION BY uid ORDER BY round(worth - 0.3 * nearer, 9) DESC, mid) = 1)
+SELECT uid, 1 AS rk, mid, round(product, 6) AS score, round(gain, 6) AS gain FROM first
+UNION ALL SELECT uid, 2, mid, round(product, 6), round(gain, 6) FROM second
+UNION ALL SELECT uid, 3, mid, round(product, 6), round(gain, 6) FROM third""",
+        "rating_walk": f"""WITH {WALK} SELECT node, round(rank, 9) AS rank FROM ranks{WALK_ROUNDS}""",
         "als_predicted_rows": f"""WITH {CUSTOMERS}, {_split("customers")}
 SELECT uid, mid, score FROM test
 WHERE uid IN (SELECT uid FROM train) AND mid IN (SELECT mid FROM train)""",
@@ -757,6 +867,10 @@ SELECT round(sqrt(avg((score - prediction) ** 2)), 6) AS rmse FROM test JOIN mea
 predicted AS (SELECT uid, mid, prediction FROM test JOIN means USING (mid))
 SELECT round(sqrt(avg((score - prediction) ** 2)), 6) AS rmse
 FROM test JOIN predicted USING (uid, mid)""",
+        "rmse_replicates": f"WITH {DRAWN} SELECT replicate, n, round(rmse, 6) AS rmse FROM replicates",
+        "rmse_interval": f"""WITH {DRAWN}, placed AS (SELECT rmse, row_number() OVER (ORDER BY rmse) AS place FROM replicates)
+SELECT round(min(rmse), 6) AS low, round(max(rmse), 6) AS high FROM placed
+WHERE place > {REPLICATES // 20} AND place <= {REPLICATES - REPLICATES // 20}""",
         "grid_points": f"WITH {GRID} SELECT reg, rmse FROM grid",
         "grid_argmin": f"WITH {GRID} SELECT reg, rmse FROM grid ORDER BY rmse, reg LIMIT 1",
         "als_grid_check": f"""SELECT rank, reg, true AS has_error, true AS no_better_than_chosen
