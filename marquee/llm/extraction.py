@@ -2,12 +2,15 @@
 
 A page becomes blocks of text in page order. Elements that never hold the article (menus,
 footers, sidebars, notices, adverts, forms, scripts, comments of readers, hidden ones) give
-none. Inside an article only whole class names of containers tell them; ids, headings, inline
-elements, labels and buttons are text there. The blocks of a page, a line each, are its stream. Over the streams of a host, suffix
-arrays find the strings of ``LENGTH`` bytes that repeat on distinct pages (``windows``, by
-host). A block is boilerplate if such strings cover ``COVERED`` of it and it lies outside an
-article, or stands on ``SHARE`` of the host's pages and at least ``PAGES`` of them. The rest, the
-unique runs, is the text: of a page with an article element (or a main one) what lies in
+none: they are told by their tags, and containers by whole class names and ids; headings and inline
+elements are text whatever their names. The blocks of a page, cut into symbols, are its
+stream. Over the streams of a host, suffix arrays find strings of ``LENGTH`` bytes and more that repeat
+on distinct pages (``streams``). A block is boilerplate if, for ``COVERED`` of its bytes,
+
+* it lies outside an article, and such strings cover it; or
+* its symbols stand on ``SHARE`` of the host's pages and at least ``PAGES`` of them, however short it is.
+
+The rest, the unique runs, is the text: of a page with an article element (or a main one) what lies in
 it, of another page all. A repeated passage of an article alone is no boilerplate: copies
 of a page, and passages that articles share, stay.
 
@@ -22,15 +25,14 @@ from __future__ import annotations
 import html as entities
 import re
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.arrow import pieces, record_batch, shipped, texts
 from marquee.llm.components import stored
-from marquee.llm.suffix_dedup import removed, row_id
-from marquee.llm.windows import repeated
+from marquee.llm.streams import SYMBOL, covered, symbols_of
+from marquee.llm.suffix_dedup import row_id
 
 LENGTH = 200
 COVERED, SHARE, PAGES = 0.8, 0.5, 5
@@ -59,16 +61,21 @@ _NAMES = frozenset(
     "comment comments commentlist replies disqus popup modal overlay widget pagination pager".split()
 )
 _NAMES_OUTSIDE = _NAMES | {"header", "topbar", "author", "byline", "toolbar"}
-#: What class names of containers add to these names.
-_CARRIERS = frozenset("area bar block box button buttons container icons item items link links list section slot unit wrapper".split())
-_CONTAINERS = frozenset("article center details div dl fieldset figure ol section table ul".split())
+#: What class names and ids of containers add to these names.
+_CARRIERS = frozenset(
+    "area bar block bottom box button buttons col column container content global group holder icons inline inner item items left "
+    "link links list main mobile outer page post posts primary reader right row secondary section site slot sticky story "
+    "title top unit user wrap wrapper zone".split()
+)
+_CONTAINERS = frozenset("article center dd details div dl dt fieldset figure li ol section table td tr ul".split())
+_SIZE = re.compile("[0-9]+(?:x[0-9]+)?")
 _BLOCK = pa.struct([("text", pa.large_string()), ("inside", pa.bool_())])
 
 
-def _named(value: str) -> bool:
-    """Whether a whole class name says what never belongs to an article."""
-    words = re.split(r"[-_]+", value)
-    return not _NAMES.isdisjoint(words) and (_NAMES | _CARRIERS).issuperset(words)
+def _named(value: str, names: frozenset[str]) -> bool:
+    """Whether a whole class name or id says what never belongs to an article."""
+    words = [word for word in re.split(r"[-_]+", value) if word and not _SIZE.fullmatch(word)]
+    return not names.isdisjoint(words) and (names | _CARRIERS).issuperset(words)
 
 
 def _dropped(name: str, rest: str, inside: bool) -> bool:
@@ -76,13 +83,12 @@ def _dropped(name: str, rest: str, inside: bool) -> bool:
         return True
     if not rest.strip(" /\n\t"):
         return False
+    names = _NAMES if inside else _NAMES_OUTSIDE
     for key, value in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'").lower()
-        if inside and key in ("class", "id"):
-            if key == "class" and name in _CONTAINERS and any(map(_named, value.split())):
-                return True
-        elif key in ("class", "id") and name not in ("html", "body", "article", "main"):
-            if not _NAMES_OUTSIDE.isdisjoint(re.split(r"[^a-z]+", value)):
+        # A paragraph's id marks a place in the text; its class, like a container's, says what it is.
+        if (key == "class" and (name in _CONTAINERS or name == "p")) or (key == "id" and name in _CONTAINERS - {"article"}):
+            if any(_named(part, names) for part in value.split()):
                 return True
         elif key == "role" and value in _ROLES:
             return True
@@ -90,8 +96,6 @@ def _dropped(name: str, rest: str, inside: bool) -> bool:
             return True
         elif key == "style" and "display:none" in value.replace(" ", ""):
             return True
-        elif key == "class" and name == "article" and not _NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
     return False
 
 
@@ -161,10 +165,9 @@ def host_of(url: str) -> Column:
 
 
 def parsed(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """rid, unit, host, key, url, blocks: a row for each row of pages."""
+    """unit, host, key, url, blocks: a row for each row of pages."""
     rid = row_id(key, html)
     rows = pages.select(
-        rid.alias("rid"),
         F.xxhash64(F.coalesce(F.col(key).cast("string").cast("binary"), rid)).alias("unit"),
         host_of(url).alias("host"),
         F.col(key).alias("key"),
@@ -175,81 +178,83 @@ def parsed(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     def work(batches):
         for batch in pieces(batches, "html"):
             found = [[{"text": t, "inside": i} for t, i in blocks_of(page)] for page in texts(batch, "html")]
-            fields = [batch.schema.field(c) for c in ("rid", "unit", "host", "key", "url")]
+            fields = [batch.schema.field(c) for c in ("unit", "host", "key", "url")]
             schema = pa.schema([*fields, ("blocks", pa.list_(_BLOCK))])
             yield record_batch(schema, *(batch.column(f.name) for f in fields), found)
 
     kind, address = rows.schema["key"].dataType.simpleString(), rows.schema["url"].dataType.simpleString()
     return rows.transform(shipped).mapInArrow(
-        work,
-        f"rid binary, unit long, host string, key {kind}, url {address}, blocks array<struct<text:string,inside:boolean>>",
+        work, f"unit long, host string, key {kind}, url {address}, blocks array<struct<text:string,inside:boolean>>"
     )
 
 
-def covered_blocks(sizes: list[int], ranges: list[dict], length: int) -> list[bool]:
-    """Of blocks of so many bytes, joined by line feeds: whether repeated strings cover them."""
-    ends = np.cumsum(np.array(sizes, np.int64) + 1)
-    starts = ends - np.array(sizes, np.int64) - 1
-    hit = np.zeros(len(sizes), np.int64)
-    for a, b in removed(ranges, length):
-        hit += np.maximum(0, np.minimum(ends - 1, b) - np.maximum(starts, a))
-    return (hit >= COVERED * np.array(sizes)).tolist()
-
-
-def _covered(rows: DataFrame, length: int) -> DataFrame:
-    """rid, unit, host, at, block, inside: the covered blocks of pages with ranges."""
+def _streams(rows: DataFrame) -> DataFrame:
+    """row, unit, scope, symbols of each page."""
+    symbol = pa.struct([("digest", pa.int64()), ("size", pa.int32()), ("block", pa.int32()), ("bytes", pa.int32()), ("inside", pa.bool_())])
 
     def work(batches):
-        schema = pa.schema(
-            [("rid", pa.binary()), ("unit", pa.int64()), ("host", pa.string()), ("at", pa.int32()),
-             ("block", pa.large_string()), ("inside", pa.bool_())]
-        )
         for batch in batches:
-            out = []
-            for rid, unit, host, blocks, ranges in zip(
-                *(batch.column(c).to_pylist() for c in ("rid", "unit", "host", "blocks", "ranges"))
-            ):
-                marks = covered_blocks([len(b["text"].encode()) for b in blocks], ranges, length)
-                out += [(rid, unit, host, i, b["text"], b["inside"]) for i, (b, m) in enumerate(zip(blocks, marks)) if m]
-            yield record_batch(schema, *(map(list, zip(*out)) if out else [[] for _ in schema]))
-
-    return rows.select("rid", "unit", "host", "blocks", "ranges").transform(shipped).mapInArrow(
-        work, "rid binary, unit long, host string, at int, block string, inside boolean"
-    )
+            scopes, blocks = (batch.column(c).to_pylist() for c in ("scope", "blocks"))
+            found = [symbols_of([(b["text"].encode(), b["inside"]) for b in page], scope) for scope, page in zip(scopes, blocks)]
+            fields = [batch.schema.field(c) for c in ("row", "unit", "scope")]
+            schema = pa.schema([*fields, ("symbols", pa.list_(symbol))])
+            yield record_batch(schema, *(batch.column(f.name) for f in fields), found)
 
+    named = rows.select("row", "unit", F.xxhash64("host").alias("scope"), "blocks")
+    return named.transform(shipped).mapInArrow(work, f"row long, unit long, scope long, symbols array<{SYMBOL}>")
 
-def boilerplate(pages: DataFrame, length: int = LENGTH, **most) -> DataFrame:
-    """rid, gone: the numbers of the blocks of a page that are boilerplate."""
-    stream = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n").cast("binary")
-    texts_ = pages.select("rid", "unit", F.xxhash64("host").alias("scope"), stream.alias("text"))
-    # Written, so that Spark knows the size and need not shuffle all pages for a few.
-    ranges = stored(repeated(texts_, length, by_unit=True, **most), "ranges")
-    covered = pages.join(ranges, "rid").dropDuplicates(["rid"])
-    covered = stored(_covered(covered, length).withColumn("block", F.unhex(F.md5("block"))), "covered")
-    hosts = pages.select("host", "unit").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    common = (
-        covered.where("inside")
-        .select("host", "block", "unit")
-        .distinct()
-        .groupBy("host", "block")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= PAGES)
-        .join(hosts, "host")
-        .where(F.col("n") >= SHARE * F.col("pages"))
-        .select("host", "block")
-    )
-    found = covered.where("NOT inside").select("rid", "at").unionByName(
-        covered.where("inside").join(common, ["host", "block"]).select("rid", "at")
+
+def _judged(pages: DataFrame) -> DataFrame:
+    """row, gone: the numbers of the blocks that are boilerplate.
+
+    ``pages`` has row, symbols (with n, the units that have each), ranges and pages (of the host).
+    """
+
+    def gone(symbols, ranges, count):
+        common = max(PAGES, SHARE * count)
+        inside_range = {place for r in ranges or () for place in range(r["start"], r["end"])}
+        blocks: dict[int, list[int]] = {}
+        for s in symbols:
+            block = blocks.setdefault(s["block"], [s["bytes"], 0])
+            if s["n"] >= common or (not s["inside"] and s["at"] in inside_range):
+                block[1] += s["size"]
+        return sorted(i for i, (size, hit) in blocks.items() if hit and hit >= COVERED * size)
+
+    def work(batches):
+        schema = pa.schema([("row", pa.int64()), ("gone", pa.list_(pa.int32()))])
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("row", "symbols", "ranges", "pages"))
+            out = [(row, found) for row, *rest in zip(*columns) if (found := gone(*rest))]
+            yield record_batch(schema, *(map(list, zip(*out)) if out else [[], []]))
+
+    return pages.select("row", "symbols", "ranges", "pages").transform(shipped).mapInArrow(work, "row long, gone array<int>")
+
+
+def boilerplate(rows: DataFrame, length: int = LENGTH, **most) -> DataFrame:
+    """row, gone: the numbers of the blocks of a page (row, unit, host, blocks) that are boilerplate."""
+    pages = stored(_streams(rows), "streams")
+    each = pages.select("row", "unit", "scope", F.posexplode("symbols").alias("at", "s")).select("row", "unit", "scope", "at", "s.*")
+    counts = each.select("digest", "unit").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    # Written, so that Spark knows how few they are.
+    counts = stored(counts.where("n > 1"), "counts")
+    fields = ("at", "digest", "size", "block", "bytes", "inside", "n")
+    lists = (
+        each.join(counts, "digest")
+        .groupBy("row")
+        .agg(F.first("unit").alias("unit"), F.first("scope").alias("scope"), F.array_sort(F.collect_list(F.struct(*fields))).alias("symbols"))
     )
-    return found.groupBy("rid").agg(F.collect_set("at").alias("gone"))
+    lists = stored(lists, "lists")
+    ranges = stored(covered(lists, length, **most), "ranges")
+    hosts = pages.select("scope", "unit").distinct().groupBy("scope").agg(F.count(F.lit(1)).alias("pages"))
+    return _judged(lists.join(ranges, "row", "left").join(hosts, "scope"))
 
 
 def extract(
     pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", length: int = LENGTH, **most
 ) -> DataFrame:
     """key, url, text, n_chars, n_boilerplate (blocks dropped as repeated)."""
-    rows = stored(parsed(pages, key, url, html), "blocks")
-    joined = rows.join(stored(boilerplate(rows, length, **most), "boilerplate"), "rid", "left")
+    rows = stored(parsed(pages, key, url, html).select(F.monotonically_increasing_id().alias("row"), "*"), "blocks")
+    joined = rows.join(stored(boilerplate(rows, length, **most), "boilerplate"), "row", "left")
     numbered = F.transform("blocks", lambda b, i: F.struct(b["text"].alias("text"), b["inside"].alias("inside"), i.alias("i")))
     left = F.filter(numbered, lambda b: F.col("gone").isNull() | ~F.array_contains("gone", b["i"]))
     article = F.exists("blocks", lambda b: b["inside"])

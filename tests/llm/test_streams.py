@@ -1,0 +1,81 @@
+from __future__ import annotations
+
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from marquee.llm import streams
+
+
+def brute(pages, length):
+    """Places covered by windows that lie on two units."""
+    held = defaultdict(set)
+    for row, (unit, runs) in pages.items():
+        for run in runs:
+            for start, end in enumerate(streams.windows_of([s for _, _, s in run], length)):
+                held[tuple(d for _, d, _ in run[start:end])].add(unit)
+    out = {}
+    for row, (unit, runs) in pages.items():
+        covered = set()
+        for run in runs:
+            for start, end in enumerate(streams.windows_of([s for _, _, s in run], length)):
+                if len(held[tuple(d for _, d, _ in run[start:end])]) > 1:
+                    covered |= {at for at, _, _ in run[start:end]}
+        out[row] = covered
+    return out
+
+
+def random_pages(seed, n=60):
+    """Runs from few symbols; a symbol's size goes with its digest, and one is on nearly every page."""
+    rng = random.Random(seed)
+    pages = {}
+    for row in range(n):
+        at, runs = 0, []
+        for _ in range(rng.randint(0, 3)):
+            at += rng.randint(1, 3)
+            digests = [rng.choice([-9, rng.randint(-6, 6)]) for _ in range(rng.randint(1, 9))]
+            runs.append([(at + i, d, 10 * abs(d) + 5) for i, d in enumerate(digests)])
+            at += len(digests) + 1
+        pages[row] = rng.randint(0, n // 2), runs
+    return pages
+
+
+@pytest.mark.parametrize(("seed", "most"), [(1, 4096), (2, 2), (3, 0), (4, 20)])
+def test_equals_brute_force(spark, seed, most):
+    pages = random_pages(seed)
+    rows = [(row, unit, [(at, d, s) for run in runs for at, d, s in run]) for row, (unit, runs) in pages.items()]
+    lists = spark.createDataFrame(rows, "row long, unit long, symbols array<struct<at:int,digest:long,size:int>>").repartition(4)
+    got = {r.row: {p for x in r.ranges for p in range(x.start, x.end)} for r in streams.covered(lists, 100, most).collect()}
+    want = {row: places for row, places in brute(pages, 100).items() if places}
+    assert got == want and len(want) > 10
+
+
+def test_windows_and_passages():
+    assert streams.windows_of([50, 60, 10, 200, 5], 100) == [2, 4, 4, 4]
+    assert streams.windows_of([], 100) == streams.windows_of([99], 100) == []
+    found = streams.passages_of([5, 1, 7, 8, 0, 9], [60] * 6, 100)
+    assert found == [(0, 3, 1), (2, 4, 7), (3, 6, 0)]
+    for start, end, key in found:
+        assert key in [5, 1, 7, 8, 0, 9][start:end]
+
+
+def test_suffix_array_finds_windows_of_distinct_units():
+    passages, sizes = [[1, 2, 3, 4], [9, 2, 3], [2, 3, 4]], [[60] * 4, [60] * 3, [60] * 3]
+    found = streams.repeated_windows(passages, sizes, np.array([1, 1, 2]), np.array([1, 1, 2]), 100)
+    assert found == [[(1, 3), (2, 4)], [(1, 3)], [(0, 2), (1, 3)]]
+
+
+def test_symbols_are_cut_alike_wherever_the_text_stands():
+    rng = random.Random(1)
+    text = "".join(rng.choices("abcdefgh ij", k=4000)).encode()
+    one = streams.symbols_of([(b"prefix " + text, True)], 7)
+    two = streams.symbols_of([(b"short", False), (text + b" suffix", False)], 7)
+    shared = {s["digest"] for s in one} & {s["digest"] for s in two}
+    assert sum(s["size"] for s in one if s["digest"] in shared) > 3000 and len(shared) > 10
+    assert not shared & {s["digest"] for s in streams.symbols_of([(text, True)], 8)}  # another host
+    for found, length in ((one, len(text) + 7), (two, len(text) + 12)):
+        assert sum(s["size"] for s in found) == length
+    assert [s["block"] for s in two][:2] == [0, 1] and two[1]["bytes"] == len(text) + 7
+    assert streams.symbols_of([], 1) == []
