@@ -10,19 +10,27 @@ folder and read again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.session import scratch_path
+from marquee.session import remove, scratch_path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read from there."""
+def stored(df: DataFrame, name: str, held: list[str] | None = None, **options: str) -> DataFrame:
+    """The rows written to the shared folder and read from there; ``held`` is told the path."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
+    if held is not None:
+        held.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, held: list[str]) -> None:
+    """Remove tables that nothing reads any more."""
+    while held:
+        remove(spark, held.pop())
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.arrow import pieces, record_batch, shipped, texts
-from marquee.llm.components import stored
+from marquee.llm.components import discard, stored
 from marquee.llm.streams import SYMBOL, covered, symbols_of
 from marquee.llm.suffix_dedup import row_id
 
@@ -232,29 +232,49 @@ def _judged(pages: DataFrame) -> DataFrame:
 
 def boilerplate(rows: DataFrame, length: int = LENGTH, **most) -> DataFrame:
     """row, gone: the numbers of the blocks of a page (row, unit, host, blocks) that are boilerplate."""
-    pages = stored(_streams(rows), "streams")
-    each = pages.select("row", "unit", "scope", F.posexplode("symbols").alias("at", "s")).select("row", "unit", "scope", "at", "s.*")
-    counts = each.select("digest", "unit").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    held: list[str] = []
+    pages = stored(_streams(rows), "streams", held, compression="zstd")
+    # Two numbers carry what a symbol has beside its digest, as every symbol is shuffled.
+    place = F.shiftleft(F.col("at").cast("long"), 32) + F.col("s.size")
+    block = F.shiftleft(F.col("s.block").cast("long"), 32) + 2 * F.col("s.bytes") + F.col("s.inside").cast("int")
+    each = pages.select("row", "unit", F.posexplode("symbols").alias("at", "s"))
+    counts = each.select("s.digest", "unit").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
     # Written, so that Spark knows how few they are.
-    counts = stored(counts.where("n > 1"), "counts")
-    fields = ("at", "digest", "size", "block", "bytes", "inside", "n")
+    counts = stored(counts.where("n > 1"), "counts", held)
     lists = (
-        each.join(counts, "digest")
+        each.select("row", "s.digest", place.alias("place"), block.alias("block"))
+        .join(counts, "digest")
         .groupBy("row")
-        .agg(F.first("unit").alias("unit"), F.first("scope").alias("scope"), F.array_sort(F.collect_list(F.struct(*fields))).alias("symbols"))
+        .agg(F.array_sort(F.collect_list(F.struct("place", "digest", "block", "n"))).alias("packed"))
     )
-    lists = stored(lists, "lists")
-    ranges = stored(covered(lists, length, **most), "ranges")
+
+    def unpacked(s):
+        low = lambda value: value.bitwiseAND(F.lit((1 << 32) - 1))
+        return F.struct(
+            F.shiftright(s["place"], 32).cast("int").alias("at"),
+            s["digest"].alias("digest"),
+            low(s["place"]).cast("int").alias("size"),
+            F.shiftright(s["block"], 32).cast("int").alias("block"),
+            F.shiftright(low(s["block"]), 1).cast("int").alias("bytes"),
+            (low(s["block"]) % 2 == 1).alias("inside"),
+            s["n"].alias("n"),
+        )
+
+    lists = lists.join(pages.select("row", "unit", "scope"), "row")
+    lists = stored(lists.select("row", "unit", "scope", F.transform("packed", unpacked).alias("symbols")), "lists", held)
+    ranges = covered(lists, length, **most)
     hosts = pages.select("scope", "unit").distinct().groupBy("scope").agg(F.count(F.lit(1)).alias("pages"))
-    return _judged(lists.join(ranges, "row", "left").join(hosts, "scope"))
+    found = stored(_judged(lists.join(ranges, "row", "left").join(hosts, "scope")), "boilerplate")
+    discard(rows.sparkSession, held)
+    return found
 
 
 def extract(
     pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", length: int = LENGTH, **most
 ) -> DataFrame:
     """key, url, text, n_chars, n_boilerplate (blocks dropped as repeated)."""
-    rows = stored(parsed(pages, key, url, html).select(F.monotonically_increasing_id().alias("row"), "*"), "blocks")
-    joined = rows.join(stored(boilerplate(rows, length, **most), "boilerplate"), "row", "left")
+    rows = stored(parsed(pages, key, url, html).select(F.monotonically_increasing_id().alias("row"), "*"), "blocks", compression="zstd")
+    joined = rows.join(boilerplate(rows, length, **most), "row", "left")
     numbered = F.transform("blocks", lambda b, i: F.struct(b["text"].alias("text"), b["inside"].alias("inside"), i.alias("i")))
     left = F.filter(numbered, lambda b: F.col("gone").isNull() | ~F.array_contains("gone", b["i"]))
     article = F.exists("blocks", lambda b: b["inside"])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.arrow import record_batch, shipped
-from marquee.llm.components import stored
+from marquee.llm.components import discard, stored
 from marquee.llm.suffixes import suffix_array
 from marquee.llm.windows import GRAM, _digests
 
@@ -176,7 +176,7 @@ def _by_suffix_array(different: DataFrame, length: int) -> DataFrame:
     return spread.transform(shipped).mapInArrow(work, "key long, digests array<long>, found array<struct<start:int,end:int>>")
 
 
-def _by_window(different: DataFrame, length: int) -> DataFrame:
+def _by_window(different: DataFrame, length: int, held: list[str]) -> DataFrame:
     """The same for keys with many passages: each window counted by itself."""
 
     def work(batches):
@@ -189,7 +189,7 @@ def _by_window(different: DataFrame, length: int) -> DataFrame:
 
     kinds = "start int, end int, key long, low long, high long, digests array<long>"
     windows = different.select("key", "digests", "sizes", "low", "high").transform(shipped).mapInArrow(work, kinds)
-    windows = stored(windows.withColumn("window", F.slice("digests", F.col("start") + 1, F.col("end") - F.col("start"))), "windows")
+    windows = stored(windows.withColumn("window", F.slice("digests", F.col("start") + 1, F.col("end") - F.col("start"))), "windows", held)
     again = windows.groupBy("window").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most")
     hit = windows.join(again.select("window"), "window", "left_semi")
     return hit.groupBy("key", "digests").agg(F.collect_set(F.struct("start", "end")).alias("found"))
@@ -200,20 +200,23 @@ def covered(lists: DataFrame, length: int, most: int = MOST) -> DataFrame:
 
     ``lists`` has row, unit and symbols: at, digest and size of a page's symbols that other units have too, in order.
     """
-    passages = stored(_passages(lists.select("row", "unit", "symbols"), length), "passages")
+    held: list[str] = []
+    passages = stored(_passages(lists.select("row", "unit", "symbols"), length), "passages", held)
     different = passages.groupBy("key", "digests").agg(
         F.first("sizes").alias("sizes"), F.min("unit").alias("low"), F.max("unit").alias("high")
     )
-    different = stored(different, "different")
+    different = stored(different, "different", held)
     keys = different.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("least"), F.max("high").alias("most"))
-    keys = stored(keys.where("least < most").select("key", "n"), "keys")
+    keys = stored(keys.where("least < most").select("key", "n"), "keys", held)
     sized = different.join(keys, "key")
     found = _by_suffix_array(sized.where(F.col("n") <= most), length).unionByName(
-        _by_window(sized.where(F.col("n") > most), length)
+        _by_window(sized.where(F.col("n") > most), length, held)
     )
-    found = stored(found.where(F.size("found") > 0), "found")
+    found = stored(found.where(F.size("found") > 0), "found", held)
     back = passages.select("key", "digests", "row", "at").join(found, ["key", "digests"])
     ranges = back.select("row", "at", F.explode("found").alias("f")).select(
         "row", F.struct((F.col("at") + F.col("f.start")).alias("start"), (F.col("at") + F.col("f.end")).alias("end")).alias("range")
     )
-    return ranges.groupBy("row").agg(F.collect_set("range").alias("ranges"))
+    ranges = stored(ranges.groupBy("row").agg(F.collect_set("range").alias("ranges")), "ranges")
+    discard(lists.sparkSession, held)
+    return ranges
