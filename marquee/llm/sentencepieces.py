@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from marquee.llm.arrow import pieces, record_batch, shipped, texts
 
 SPACE = "▁"
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 REMEMBERED_LENGTH = 64
+#: Segments encoded at once, and text bytes of a piece.
+LEARNED, PIECE = 1 << 14, 1 << 20
 #: Characters of a segment whose agenda is a row; longer ones have a heap.
 ROW = 24
 NONE = np.iinfo(np.int32).max
@@ -206,10 +208,14 @@ class Agenda:
             return joined.decode("utf-8", "replace").encode()
 
     def learn(self, segments: set[str]) -> None:
-        """Encode segments, check them against the library and remember them."""
-        segments = list(segments)
+        """Encode segments, check them against the library and remember them, some at a time."""
+        listed = sorted(segments, key=len)
+        for start in range(0, len(listed), LEARNED):
+            self._learn(listed[start : start + LEARNED])
+
+    def _learn(self, segments: list[str]) -> None:
+        """``learn`` for segments in order of length."""
         lead = self.merge(SPACE) + self.merge("\n") if self.line else []
-        segments.sort(key=len)
         rows = sum(len(segment) <= ROW for segment in segments)
         found = []
         for start in range(0, rows, 8192):
@@ -280,7 +286,7 @@ def encode_decode(
 
     def work(batches):
         agenda = _agenda(model)
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, PIECE):
             done = list(agenda.run(texts(batch, text), audit_every))
             schema = pa.schema([batch.schema.field(key), ("ids", pa.large_binary()), ("decoded", pa.large_string())])
             yield record_batch(schema, batch.column(key), [a for a, _ in done], [b for _, b in done])
