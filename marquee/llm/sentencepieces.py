@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from marquee.llm.arrow import pieces, record_batch, shipped, texts
 
 SPACE = "▁"
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 19
 REMEMBERED_LENGTH = 64
 #: Segments encoded at once, and text bytes of a piece.
-LEARNED, PIECE = 1 << 14, 1 << 20
+LEARNED, PIECE = 1 << 14, 2 << 20
 #: Characters of a segment whose agenda is a row; longer ones have a heap.
 ROW = 24
 NONE = np.iinfo(np.int32).max
@@ -103,7 +103,7 @@ class Agenda:
         self.line = line
         # What is remembered of a segment: packed ids and decoded bytes.
         self.packed: dict[str, bytes] = {}
-        self.decoded: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}  # what segments decode to that do not give themselves back
 
     def merge(self, text: str) -> list[int]:
         """The ids of a normalised segment."""
@@ -225,7 +225,8 @@ class Agenda:
         at, asked, expected = 0, [], []
         for segment, ids in zip(segments, found):
             self.packed[segment] = packed[at : (at := at + 4 * len(ids))]
-            self.decoded[segment] = self.decode(ids)
+            if (decoded := self.decode(ids)) != segment.replace(SPACE, " ").encode():
+                self.odd[segment] = decoded
             if segment[0] == SPACE and len(segment) > 1:
                 asked.append(segment[1:].replace(SPACE, " "))
                 expected.append(ids)
@@ -242,13 +243,17 @@ class Agenda:
         unseen = wanted.difference(self.packed)
         if len(self.packed) + len(unseen) > REMEMBERED:
             self.packed.clear()
-            self.decoded.clear()
+            self.odd.clear()
             unseen = wanted
         self.learn(unseen)
-        packed, plain = self.packed.__getitem__, self.decoded.__getitem__
+        packed, odd = self.packed.__getitem__, self.odd
         for text, segments in zip(documents, cut):
             ids = self.begin + b"".join(map(packed, segments)) + self.end
-            decoded = b"".join(map(plain, segments))[1:].decode()
+            if odd.keys().isdisjoint(segments):
+                decoded = "".join(segments).replace(SPACE, " ")[1:]
+            else:
+                plain = (odd[s] if s in odd else s.replace(SPACE, " ").encode() for s in segments)
+                decoded = b"".join(plain)[1:].decode()
             if not zlib.crc32(text.encode()) % audit_every:
                 expected = self.library.encode(text, add_bos=True, add_eos=True, num_threads=1)
                 if np.array(expected, "<u4").tobytes() != ids or self.library.decode(expected) != decoded:
@@ -256,7 +261,8 @@ class Agenda:
             yield ids, decoded
         for segment in unseen:
             if len(segment) > REMEMBERED_LENGTH:
-                del self.packed[segment], self.decoded[segment]
+                del self.packed[segment]
+                odd.pop(segment, None)
 
 
 @lru_cache(maxsize=2)
