@@ -4,14 +4,15 @@ A fingerprint has 64 bits: bit b is set if it is set in over half of the XXH64 v
 text's word shingles. Fingerprints link at ``DISTANCE`` or fewer differing bits, and a class
 is what links connect.
 
-Equal fingerprints are one point. Points are dealt to shards that overlap: of ``blocks``
-runs of bits, two linked points agree in all but ``DISTANCE`` at least, so there is a shard
-for each choice of runs and their value, and every link lies inside one. (Shards cut by
-distance from a vantage point alone would overlap too far: random fingerprints lie at 32
-+- 4 bits from any point, so that a median cut copies some 36 % of the points, and cutting
-15 million down to thousands would hold each point over 80 times.) More points have more
-runs, so that shards stay small. A shard with more than ``SHARD`` points is cut into rings
-by the distance from a vantage point, and each ring also gets the points of the ring before.
+Equal fingerprints are one point. Up to ``TREE`` points are one shard. More are dealt to shards
+that overlap: of ``blocks`` runs of bits, two linked points agree in all but ``DISTANCE`` at
+least, so there is a shard for each choice of runs and their value, and every link lies inside
+one. (Shards cut by distance from a vantage point alone would overlap too far: random
+fingerprints lie at 32 +- 4 bits from any point, so that a median cut copies some 36 % of the
+points, and cutting 15 million down to thousands would hold each point over 80 times.) Runs are
+only so long that a shard has at least half of ``TREE`` points, were the bits even; there are
+more of them where that would exceed ``EXPECTED``. A shard with more than ``SHARD`` points is cut into
+rings by the distance from a vantage point, and each ring also gets the points of the ring before.
 
 Inside a shard a vantage-point tree finds the pairs: points are split at the median distance
 from a vantage point, and a branch is visited only if the triangle inequality allows a link
@@ -40,8 +41,9 @@ BITS = 64
 DISTANCE = 4
 WORDS = 4
 SEED = 42
-#: Points expected in a shard when the number of runs is chosen, and the most before rings.
-EXPECTED, SHARD = 4096, 1 << 16
+#: Points for whose tree the length of runs is chosen, most points expected in a shard when the
+#: number of runs is chosen, and the most before rings.
+TREE, EXPECTED, SHARD = 1024, 4096, 1 << 16
 #: Points compared pair by pair.
 LEAF = 64
 
@@ -103,12 +105,15 @@ def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
 def masks(points: int) -> list[int]:
     """The bits on which the points of a shard agree, for each choice of runs."""
+    bits = (max(points - 1, 0) // TREE).bit_length()
+    if not bits:
+        return [0]
     for blocks in range(DISTANCE + 1, 17):
-        edges = [BITS * i // blocks for i in range(blocks + 1)]
-        runs = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
-        agreed = BITS * (blocks - DISTANCE) // blocks
-        if points <= EXPECTED << agreed or blocks == 16:
-            return [sum(chosen) for chosen in combinations(runs, blocks - DISTANCE)]
+        agreed, room = blocks - DISTANCE, BITS // blocks
+        if points <= EXPECTED << agreed * room or blocks == 16:
+            width = min(max(bits // agreed, 1), room)
+            runs = [(1 << BITS * i // blocks + width) - (1 << BITS * i // blocks) for i in range(blocks)]
+            return [sum(chosen) for chosen in combinations(runs, agreed)]
     raise AssertionError
 
 

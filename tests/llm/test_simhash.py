@@ -89,7 +89,7 @@ def test_shards_hold_every_near_pair(spark):
             q ^= 1 << b
         points += [p, q]
     signed = [(p - 2**64 if p >> 63 else p,) for p in points]
-    for n, most in ((10, 1 << 16), (1 << 20, 1 << 16), (1 << 34, 1 << 16), (10, 2)):
+    for n, most in ((10, 1 << 16), (5000, 1 << 16), (1 << 20, 1 << 16), (1 << 34, 1 << 16), (10, 2), (5000, 2)):
         rows = simhash.sharded(spark.createDataFrame(signed, "fp long"), simhash.masks(n), most).collect()
         shards = {}
         for r in rows:
@@ -97,6 +97,64 @@ def test_shards_hold_every_near_pair(spark):
         assert all(shards[points[i]] & shards[points[i + 1]] for i in range(0, len(points), 2))
 
 
+def test_shards_hold_enough_points_for_a_tree():
+    for n in (10, 1000, 1024):
+        assert simhash.masks(n) == [0]
+    for n in (1025, 50_000, 256_000, 4_000_000, 16_000_000, 1 << 25, 1 << 30):
+        chosen = simhash.masks(n)
+        (agreed,) = {mask.bit_count() for mask in chosen}
+        assert simhash.LEAF < simhash.TREE // 2 <= n >> agreed <= simhash.EXPECTED
+        assert len(set(chosen)) == len(chosen)
+
+
+@pytest.mark.parametrize("n", [1000, 5000])
+def test_the_trees_find_the_pairs(n, monkeypatch):
+    """Vantage points are asked, branches are left out, and the classes are those of brute force."""
+    rng = random.Random(n)
+    points = []
+    while len(points) < n:
+        p = rng.getrandbits(64)
+        points.append(p)
+        for b in rng.sample(range(64), rng.randint(1, 7)):
+            points.append(p ^ 1 << b)
+    points = sorted(set(points))
+    asked, compared = [], [0]
+    distance, compare = simhash.Forest.distance, simhash.Forest.compare
+
+    def ask(self, i, members):
+        asked.append(i)
+        return distance(self, i, members)
+
+    def block(self, ones, others):
+        compared[0] += len(ones) * len(others)
+        compare(self, ones, others)
+
+    monkeypatch.setattr(simhash.Forest, "distance", ask)
+    monkeypatch.setattr(simhash.Forest, "compare", block)
+    links = []
+    for mask in simhash.masks(len(points)):
+        rows = sorted((p & mask, p) for p in points)
+        names = {value: i for i, (value, _) in enumerate(rows)}
+        shard = np.array([names[value] for value, _ in rows])
+        a, b = simhash.shard_links(shard, np.array([p for _, p in rows], np.uint64))
+        links += zip(a.tolist(), b.tolist())
+    assert len(asked) > len(points) // 200 and compared[0]
+    if n == 1000:
+        assert compared[0] < len(points) ** 2
+    at = {p: i for i, p in enumerate(points)}
+    least = list(range(len(points)))
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for a, b in links:
+        x, y = sorted((root(at[a]), root(at[b])))
+        least[y] = x
+    assert [root(i) for i in range(len(points))] == classes(points)
+
+
 def test_long_chains_become_one_component(spark):
     links = [(i, i + 1) for i in range(1, 100)] + [(200, 201), (300, 300)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
