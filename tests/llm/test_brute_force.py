@@ -112,6 +112,39 @@ def test_op9(spark, rows):
         assert tuple(got[r.vec_id][1:]) == (n, table[least].vec_id, r.vec_id == table[least].vec_id)
 
 
+def test_op9_with_links_planted_in_the_table(spark, tmp_path):
+    """The whole table with pairs, a chain and large groups: links counted, recall by size of class."""
+    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+    given = {r.vec_id: np.array(r.embedding, np.float64) for r in table.collect()}
+    rng, base = np.random.default_rng(9), max(given) + 1
+    dim = len(next(iter(given.values())))
+    unit = lambda v: v / np.linalg.norm(v)
+    near = lambda v, spread: unit(unit(v) + rng.normal(size=dim) * spread / dim**0.5)
+    planted = [near(v, 0.25) for v in list(given.values())[:80]]  # pairs, most of them links
+    for _ in range(40):
+        planted.append(near(planted[-1], 0.27))  # a chain, whose ends are far apart
+    for spread in (0.2, 0.05):
+        centre = rng.normal(size=dim)
+        planted += [near(centre, spread) for _ in range(150)]
+    planted += [planted[-1]] * 60  # one vector again and again
+    rows = [(base + i, v.tolist(), 0) for i, v in enumerate(planted)]
+    whole = table.unionByName(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    whole.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: r for r in queries.op9_nn_descent(spark, str(tmp_path)).collect()}
+    kept = whole.orderBy("vec_id").collect()
+    links, component = test_embeddings.expected(np.array([r.embedding for r in kept], np.float64))
+    sizes = Counter(component.tolist())
+    assert sum(1 < n <= 4 for n in sizes.values()) > 40 and max(sizes.values()) > 200 and links.max() > 200
+    found: dict[str, list[bool]] = {"alone": [], "small": [], "large": []}
+    for r, n, least in zip(kept, links, component):
+        name = "alone" if sizes[least] == 1 else "small" if sizes[least] <= 16 else "large"
+        row = got[r.vec_id]
+        assert row.n_links <= n and row.kept == (row.component_id == r.vec_id)
+        found[name].append((row.n_links, row.component_id) == (n, kept[least].vec_id))
+    assert all(found["alone"])
+    assert {name: np.mean(right) >= 0.99 for name, right in found.items()} == dict.fromkeys(found, True)
+
+
 def test_pipeline_stages(spark):
     """Each stage against a plain version on what the stage before kept."""
     import corpus_pipeline

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from marquee.llm import embeddings
 
@@ -99,3 +101,52 @@ def test_audit_sees_small_groups_beside_a_large_one(spark):
     assert embeddings.audit(nodes, classes(one)) == 0
     assert embeddings.audit(nodes, classes(one + two[:20])) == pytest.approx(0.5)
     assert embeddings.audit(nodes, classes(one + two)) == 1
+
+
+def test_only_pairs_with_a_fresh_entry_that_a_list_takes_are_given():
+    vec = [[1.0, 0.0], [0.98, 0.2], [0.9, 0.4], [0.0, 1.0]]
+    schema = pa.schema([("block", pa.int64()), ("node", pa.int64()), ("vec", pa.list_(pa.float64())), ("fresh", pa.bool_()), ("bar", pa.float64())])
+
+    def given(fresh, bar, most=16):
+        batch = pa.record_batch([[1] * 4, [10, 11, 12, 13], vec, fresh, bar], schema=schema)
+        rows = [tuple(r.values()) for out in embeddings._compare(most)([batch]) for r in out.to_pylist()]
+        return {r[:2] for r in rows if r[2] is not None}, {r[:2] for r in rows if r[2] is None}
+
+    every = {(a, b) for a in range(10, 14) for b in range(10, 14) if a != b}
+    # 10 - 11 and 11 - 12 are links, 10 - 12 is none: one class.
+    assert given([True] * 4, [-2.0] * 4) == (every, {(10, 11), (10, 12)})
+    assert given([False, False, False, True], [-2.0] * 4)[0] == {p for p in every if 13 in p}
+    assert given([True] * 4, [0.9, 2.0, 0.95, 2.0])[0] == {(10, 11), (10, 12), (12, 11)}
+    # A list of one hides a link, the class does not.
+    near, same = given([True] * 4, [-2.0] * 4, most=1)
+    assert len(near) == 4 and same == {(10, 11), (10, 12)}
+
+
+def test_entries_are_old_after_a_round(spark):
+    rows = [(1, 2, 0.5, True), (1, 2, 0.5, False), (1, 3, 0.7, False), (1, 4, None, False)]
+    pairs = spark.createDataFrame(rows, "u long, v long, cos double, old boolean")
+    assert sorted((r.v, r.fresh, r.rank) for r in embeddings.best(pairs, 0).collect()) == [(2, False, 2), (3, True, 1)]
+
+
+def test_attempts_end(spark, monkeypatch):
+    tries = []
+    monkeypatch.setattr(embeddings, "audit", lambda *a, **k: tries.append(k["attempt"]) or 0.5)
+    monkeypatch.setattr(embeddings, "ATTEMPTS", 2)
+    vectors = np.random.default_rng(8).normal(size=(20, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="0.5000"):
+        embeddings.near_duplicates(df)
+    assert tries == [0, 1]
+
+
+def test_two_vectors_with_one_digest_are_two_nodes(spark, monkeypatch):
+    plain = embeddings.nodes_of
+
+    def clash(vectors, key, vector, salt=0):
+        nodes = plain(vectors, key, vector, salt)
+        return nodes if salt else nodes.withColumn("node", F.lit(7).cast("long"))
+
+    monkeypatch.setattr(embeddings, "nodes_of", clash)
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [2.0, 0.01])], "vec_id long, embedding array<float>")
+    got = sorted((r.vec_id, r.n_links, r.component) for r in embeddings.near_duplicates(df).collect())
+    assert got == [(1, 1, 1), (2, 0, 2), (3, 1, 1)]
