@@ -48,7 +48,8 @@ def merged(summaries: DataFrame, by: Sequence[str] = (), tracked: int = TRACKED)
 def read(summaries: DataFrame, quantiles: Sequence[float] = (0.25, 0.5, 0.75), top: int = 5) -> DataFrame:
     """Summaries as numbers: ``quantiles`` of the scores, ``raters`` and the ``heaviest`` (uid, count).
 
-    The quantiles of no score are null.
+    The quantiles of no score are null. A rater is listed only if the count is sure to exceed the
+    summary's error, so of many raters with like counts the list is short or empty.
     """
     known = F.kll_sketch_get_n_double("scores") > 0
     values = F.array(*(F.when(known, F.kll_sketch_get_quantile_double("scores", F.lit(float(q)))) for q in quantiles))

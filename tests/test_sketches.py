@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import __spark_entry__
 import pytest
 
 from marquee.operators import sketches
@@ -52,3 +53,12 @@ def test_odd_rows(spark):
     got = {r.mid: (r["count"], r.quantiles, r.raters) for r in sketches.read(sketches.build(frame), [0.5]).collect()}
     assert got == {1: (1, [None], 1), 2: (1, [3.0], 0)}
     assert sketches.read(sketches.build(frame.limit(0))).collect() == []
+
+
+def test_many_raters_alike_leave_the_list_empty(spark, tmp_path):
+    rows = spark.range(40_000).selectExpr(
+        "id % 8000 AS l_suppkey", "id % 3 AS l_partkey", "cast(id % 50 AS double) AS l_quantity", "timestamp_seconds(id * 60) AS l_shipdate"
+    )
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = __spark_entry__.score_summaries(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in found] == [(1970, 40_000, True, True, True)]
