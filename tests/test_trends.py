@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from conftest import plan_of
 
 from marquee.operators import trends
 
@@ -47,3 +48,11 @@ def test_a_hot_movie_spreads_over_its_cells(spark, ratings_of):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(mid#" in plan and "cell#" in plan.split("hashpartitioning(mid#", 1)[1]
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_tasks_follow_the_ratings_not_the_session(spark, ratings_of):
+    rows = [(i, i % 7, 1.0, i * DAY) for i in range(300)]
+    plan = plan_of(trends.trailing(ratings_of(*rows), task=5))
+    assert "hashpartitioning(mid" in plan and ", 60), REPARTITION_BY_NUM" in plan
+    few, many = (trends.trailing(ratings_of(*rows), task=task).collect() for task in (5, 1000))
+    assert sorted(map(tuple, few)) == sorted(map(tuple, many))
