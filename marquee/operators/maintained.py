@@ -13,6 +13,7 @@ it is compacted; that raises an error. Deleting a rating that was never inserted
 
 from __future__ import annotations
 
+import math
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,8 @@ TOTALS = T.StructType(
         T.StructField("total", T.DoubleType()),
     ]
 )
+#: Stored rows that one task adds up, more or less.
+TASK = 1_000_000
 _SUMS = ("count", "scored", "total")
 _BATCHES, _BASES = "batches", "bases"
 
@@ -50,7 +53,11 @@ def _table(path: str, kind: str, number: int) -> str:
     return os.path.join(path, kind, f"{number:012d}")
 
 
-def _summed(rows: DataFrame) -> DataFrame:
+def _summed(rows: DataFrame, task: int | None = None) -> DataFrame:
+    """One row for each movie and month; with ``task``, of tables that hold a key once each, over tasks by their rows."""
+    if task:
+        tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / task))
+        rows = rows.repartition(tasks, "yearmonth", "mid")
     return rows.groupBy("yearmonth", "mid").agg(*(F.sum(name).alias(name) for name in _SUMS))
 
 
@@ -72,8 +79,9 @@ def record(path: str, batch: int, inserted: DataFrame | None = None, deleted: Da
     spark = parts[0].sparkSession
     if any(batch <= base for base in _numbers(spark, path, _BASES)):
         raise ValueError(f"batch {batch} is compacted already")
-    change = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    _write(_summed(change), _table(path, _BATCHES, batch))
+    # The totals of one side have a row for each key already.
+    change = parts[0] if len(parts) == 1 else _summed(parts[0].unionByName(parts[1]))
+    _write(change, _table(path, _BATCHES, batch))
 
 
 def _stored(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
@@ -84,12 +92,12 @@ def _stored(spark: SparkSession, path: str, upto: int | None = None) -> DataFram
     return spark.read.schema(TOTALS).parquet(*tables) if tables else spark.createDataFrame([], TOTALS)
 
 
-def totals(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+def totals(spark: SparkSession, path: str, upto: int | None = None, task: int = TASK) -> DataFrame:
     """``(yearmonth, mid, count, scored, total)``, as of batch ``upto`` or of now, for movies with ratings left.
 
     ``popularity``'s functions of totals turn them into the statistics. ``upto`` has to be as late as the base.
     """
-    summed = _summed(_stored(spark, path, upto)).where("count <> 0 OR scored <> 0")
+    summed = _summed(_stored(spark, path, upto), task).where("count <> 0 OR scored <> 0")
     checked = F.when(F.col("count") < 0, F.raise_error(F.lit("a rating was deleted that was not there"))).otherwise(F.col("count"))
     # What floating sums leave of scores that are all gone is no score.
     return summed.select(
@@ -97,7 +105,7 @@ def totals(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame
     )
 
 
-def compact(spark: SparkSession, path: str, upto: int | None = None, keep: bool = False) -> None:
+def compact(spark: SparkSession, path: str, upto: int | None = None, keep: bool = False, task: int = TASK) -> None:
     """Add up the batches to number ``upto`` (all, by default) into a new base and remove what it replaces.
 
     With ``keep`` the replaced tables stay, for readers that began before.
@@ -106,7 +114,7 @@ def compact(spark: SparkSession, path: str, upto: int | None = None, keep: bool
     bases = _numbers(spark, path, _BASES)
     if not batches or (bases and batches[-1] <= bases[-1]):
         return
-    summed = _summed(_stored(spark, path, batches[-1])).where("count <> 0 OR scored <> 0")
+    summed = _summed(_stored(spark, path, batches[-1]), task).where("count <> 0 OR scored <> 0")
     _write(summed, _table(path, _BASES, batches[-1]))
     if not keep:
         for kind, numbers in ((_BATCHES, batches), (_BASES, bases)):

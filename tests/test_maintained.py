@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from conftest import plan_of
 
 from marquee.operators import maintained, popularity
 from marquee.schemas import RATING
@@ -89,3 +90,15 @@ def test_statistics_from_maintained_totals(spark, tmp_path):
     counts = {r.mid: r["count"] for r in popularity.rating_count(ratings).collect()}
     averages = {r.mid: round(r.avg, 6) for r in popularity.average_score(ratings).collect()}
     assert got == {mid: (counts[mid], averages[mid]) for mid in counts}
+
+
+def test_tasks_follow_the_stored_rows(spark, tmp_path):
+    path, rows = str(tmp_path), rows_of(5)
+    maintained.record(path, 1, spark.createDataFrame(rows[:200], RATING))
+    maintained.record(path, 2, spark.createDataFrame(rows[200:], RATING))
+    stored = sum(len(plain(spark, some)) for some in (rows[:200], rows[200:]))
+    few = maintained.totals(spark, path, task=3)
+    assert f", {-(-stored // 3)}), REPARTITION_BY_NUM" in plan_of(few)
+    assert as_dict(few) == plain(spark, rows) == as_dict(maintained.totals(spark, path))
+    maintained.compact(spark, path, task=3)
+    assert as_dict(maintained.totals(spark, path)) == plain(spark, rows)
