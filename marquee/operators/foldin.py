@@ -51,9 +51,10 @@ def fold_in(
     """
     kind = ratings.schema[new].dataType.simpleString()
     odd = F.exists("features", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    usable = factors.where(F.col("features").isNotNull() & ~odd).select(
-        F.col("id").alias("known"), F.col("features").cast("array<double>").alias("features")
-    )
+    # Single precision stays as it is until a task has it: the shuffle carries a vector for each pair.
+    single = factors.schema["features"].dataType.elementType.typeName() == "float"
+    features = F.col("features") if single else F.col("features").cast("array<double>")
+    usable = factors.where(F.col("features").isNotNull() & ~odd).select(F.col("id").alias("known"), features.alias("features"))
     scored = ratings.select(
         F.col(new).cast("long").alias("id"), F.col(known).alias("known"), F.col("score").cast("double").alias("score")
     ).dropna()
@@ -134,7 +135,7 @@ def _sum_up(reg: float):
                 out.append((i, n, square.ravel(), linear, None))
 
         for new, run in _runs(batches, (0, 1)):
-            times, scores, vectors = run.column(3).to_numpy(), run.column(4).to_numpy(), _matrix(run.column(5))
+            times, scores, vectors = run.column(3).to_numpy(), run.column(4).to_numpy(), _matrix(run.column(5)).astype(float)
             if new:
                 if state:
                     close()

@@ -94,3 +94,13 @@ def test_a_hot_user_is_dealt_over_tasks(spark):
     assert out.where("id = 1").count() == 1
     plan = plan_of(out)
     assert "hashpartitioning(id" in plan and "part" in plan and "CartesianProduct" not in plan
+
+
+def test_single_precision_is_shuffled_as_it_is(spark):
+    """A vector is sent for each pair, so it is not made twice as long before."""
+    ratings = table(spark, 5)
+    single = spark.createDataFrame([(i, [i / 3, 1.0]) for i in range(25)], "id int, features array<float>")
+    out = foldin.fold_in(single, ratings, 0.1)
+    assert "array<double>" not in plan_of(out) and "cast(features" not in plan_of(out)
+    got, want = {r.id: r.features for r in out.collect()}, dense(single, ratings.select("uid", "mid", "score").collect(), 0.1)
+    assert got.keys() == want.keys() and all(v == pytest.approx(want[u].tolist(), abs=1e-9) for u, v in got.items())
