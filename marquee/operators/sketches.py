@@ -8,7 +8,7 @@ aggregates, which combine in each task, so a movie with a third of all ratings c
 Bounds, for the default sizes: a quantile's rank is off by at most ``RANK_ERROR`` (of 1) in 99 of 100
 cases, and exact up to some 200 scores; distinct raters by some 3 % (two standard errors), exact
 when few; a rater's count by at most the ratings over ``TRACKED`` times 0.75, exact while no more
-raters than that are met.
+raters than that are met. Ratings without a rater count, but are nobody's.
 """
 
 from __future__ import annotations
@@ -31,18 +31,24 @@ def build(ratings: DataFrame, zone: str = "UTC", tracked: int = TRACKED) -> Data
         F.count("mid").alias("count"),
         F.kll_sketch_agg_double("score").alias("scores"),
         F.hll_sketch_agg("uid").alias("raters"),
-        F.expr(f"approx_top_k_accumulate(uid, {tracked})").alias("heaviest"),
+        F.expr(f"approx_top_k_accumulate(uid, {tracked}) FILTER (WHERE uid IS NOT NULL)").alias("heaviest"),
     )
 
 
 def merged(summaries: DataFrame, by: Sequence[str] = (), tracked: int = TRACKED) -> DataFrame:
-    """One summary for each value of ``by``; filter and join ``summaries`` to any movies and months first."""
-    return summaries.groupBy(*by).agg(
+    """One summary for each value of ``by``; filter and join ``summaries`` to any movies and months first.
+
+    No summaries give no row, also without ``by``.
+    """
+    # Spark's combine fails on no row at all, which an aggregate without a key would hand it.
+    grouped = summaries.groupBy(*by) if by else summaries.groupBy(F.lit(0).alias("all"))
+    found = grouped.agg(
         F.sum("count").alias("count"),
         F.kll_merge_agg_double("scores").alias("scores"),
         F.hll_union_agg("raters").alias("raters"),
         F.expr(f"approx_top_k_combine(heaviest, {tracked})").alias("heaviest"),
     )
+    return found if by else found.drop("all")
 
 
 def read(summaries: DataFrame, quantiles: Sequence[float] = (0.25, 0.5, 0.75), top: int = 5) -> DataFrame:

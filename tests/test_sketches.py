@@ -62,3 +62,23 @@ def test_many_raters_alike_leave_the_list_empty(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "lineitem.parquet"))
     found = __spark_entry__.score_summaries(spark, str(tmp_path)).collect()
     assert [tuple(r) for r in found] == [(1970, 40_000, True, True, True)]
+
+
+def test_no_summary_at_all_gives_no_row(spark, tmp_path):
+    _, ratings = table(spark, 300)
+    sketches.build(ratings).write.parquet(str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    assert sketches.read(sketches.merged(stored.where("mid < 0"))).collect() == []
+    assert sketches.read(sketches.merged(stored.where("mid < 0"), ["mid"])).collect() == []
+
+
+def test_ratings_without_a_rater_are_nobodys(spark, tmp_path):
+    rows = spark.range(12).selectExpr(
+        "if(id < 9 AND id % 3 = 0, 7L, NULL) AS l_suppkey", "id % 2 AS l_partkey", "cast(id AS double) AS l_quantity",
+        "timestamp_seconds(if(id < 9, 0, 366 * 86400)) AS l_shipdate",
+    )
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = __spark_entry__.score_summaries(spark, str(tmp_path)).orderBy("year").collect()
+    assert [tuple(r) for r in found] == [(1970, 9, True, True, True), (1971, 3, True, True, True)]
+    best = sketches.read(sketches.merged(sketches.build(__spark_entry__.ratings(spark, str(tmp_path)))), [0.5]).first()
+    assert [tuple(r) for r in best.heaviest] == [(7, 3)] and best["count"] == 12
